@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from roadloom.common import plate_key, table
 from roadloom.operators.clocks import instants_text, with_instants
 from roadloom.operators.coverage import continuous_periods
+from roadloom.operators.drift import schema_changes, unified_table
+from roadloom.operators.rejects import parse_records, rejected_records
 
 
 def fix_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,3 +41,28 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixes = fix_instants(spark, sf_dir).select(plate_key(F.col("Plate")).alias("plate"), "From_us", "To_us")
     return continuous_periods(fixes, "plate", "From_us", "To_us")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rejected_records(parse_records(table(spark, sf_dir, "raw_lines")))
+
+
+def p3_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The valid records of both kinds, as they load."""
+    parsed = parse_records(table(spark, sf_dir, "raw_lines"))
+    at = lambda c: F.get("fields", (F.array_position("names", F.lit(c)) - 1).cast("int"))
+    return parsed.where("reason is null").select("line_id", "kind", *[at(c).alias(c) for c in ("TestDateUTC", "From", "To", "Lane", "Ignore", "Plate", "RoadName")])
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema_changes(table(spark, sf_dir, "feed_rows"))
+
+
+def p4_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of all feeds under one set of columns, whatever their files call them."""
+    fields = ["TestDateUTC", "From", "To", "Lane", "Ignore", "Plate", "RoadName", "RoadID", "Chainage"]
+    return unified_table(table(spark, sf_dir, "feed_rows"), fields)
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_loaded": p3_loaded, "p4_found": p4_found, "p4_table": p4_table}
+SQL: dict[str, str] = {}
