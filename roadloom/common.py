@@ -27,7 +27,7 @@ def null_tokens_to_null(c: Column) -> Column:
 
 def trim_blanks(c: Column) -> Column:
     """Without outer white space of any kind (tabs, line ends and no-break spaces too)."""
-    return F.regexp_replace(c, r"^[\s ﻿]+|[\s ﻿]+$", "")
+    return F.regexp_replace(c, r"^[\s\u00a0\u2007\ufeff]+|[\s\u00a0\u2007\ufeff]+$", "")
 
 
 def filled(c: Column) -> Column:
