@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from roadloom.common import plate_key, table
 from roadloom.llm.canonical import map_names
+from roadloom.llm.leaks import leaked_items
+from roadloom.llm.mixing import mix_sources
 from roadloom.llm.nearest import pair_nearest
+from roadloom.llm.quality import not_prose, quality_statistics
 from roadloom.plans.survey_queries import fix_instants, lmd_instants
 
 #: Production parameters.
@@ -26,5 +29,31 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("source_file", F.col("RoadName").alias("raw_name"), "road_ref_id")
 
 
-QUERIES = {"p5_found": p5_found, "p6_found": p6_found}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen documents and how often each is used."""
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares of all sources."""
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return not_prose(table(spark, sf_dir, "documents"))
+
+
+def p9_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All figures of every document."""
+    return quality_statistics(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_mix": p8_mix, "p8_shares": p8_shares,
+    "p9_found": p9_found, "p9_stats": p9_stats,
+}
 SQL: dict[str, str] = {}
