@@ -3,7 +3,8 @@
 Overlapping intervals are first cut into disjoint segments, each with the one interval that holds there; a lookup in
 segments can match once at most, so rows are never multiplied and nothing is aggregated on the facts' side. Segments are
 cut within chunks of time (long intervals are clipped to each chunk they cover, and to the time span of the facts), so no
-task sees all intervals; facts meet them in an equi-join on the chunk with the segment as a condition.
+task sees all intervals, and no interval is paired with another however many overlap; facts meet the segments in an
+equi-join on the chunk with the segment as a condition.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 from roadloom.common import BROADCAST_ROWS
 
 FIRST_LISTED, LATEST_START = "first_listed", "latest_start"
-#: Seconds of a chunk.
-CHUNK_S = 3600
+#: Seconds of a chunk; a power of two.
+CHUNK_S = 4096
 
 
 def _chunk(c: Column, width: int) -> Column:
@@ -31,13 +32,46 @@ def _clipped(df: DataFrame, keys: list[str], lo: Column, hi: Column, width: int)
     return rows.withColumns({"__a": F.greatest(F.col("__a"), edge), "__b": F.least(F.col("__b"), edge + (width - 1))})
 
 
+def _dyadic(a: Column, b: Column, levels: int) -> Column:
+    """Array of (level, node): the at most two nodes of each level of a binary tree that together are just [a, b]."""
+    begin = F.struct(a.cast("bigint").alias("l"), (b + 1).cast("bigint").alias("r"), F.array().cast("array<struct<level:int,node:bigint>>").alias("nodes"))
+
+    def step(acc: Column, level: Column) -> Column:
+        left, right = acc["l"], acc["r"]
+        odd = lambda x: (x % 2 == 1) & (left < right)
+        node = lambda x: F.struct(level.cast("int").alias("level"), x.cast("bigint").alias("node"))
+        up = left + F.when(odd(left), 1).otherwise(0)
+        takes_right = (right % 2 == 1) & (up < right)
+        down = right - F.when(takes_right, 1).otherwise(0)
+        picked = F.concat(
+            acc["nodes"],
+            F.when(odd(left), F.array(node(left))).otherwise(F.array().cast("array<struct<level:int,node:bigint>>")),
+            F.when(takes_right, F.array(node(down))).otherwise(F.array().cast("array<struct<level:int,node:bigint>>")),
+        )
+        half = lambda x: F.floor(x / 2).cast("bigint")
+        return F.struct(half(up).alias("l"), half(down).alias("r"), picked.alias("nodes"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(levels)), begin, step, lambda acc: acc["nodes"])
+
+
 def _first_listed(fixes: DataFrame, keys: list[str], width: int) -> DataFrame:
-    parts = _clipped(fixes, keys, F.col("start"), F.col("end"), width).select(*keys, "chunk", "__a", "__b", "ord", "payload")
-    cuts = parts.select(*keys, "chunk", F.explode(F.array(F.col("__a"), F.col("__b") + 1)).alias("lo")).distinct()
-    following = F.lead("lo").over(W.partitionBy(*keys, "chunk").orderBy("lo"))
-    spans = cuts.withColumn("hi", following - 1).where("hi is not null")
-    covering = spans.join(parts, [*keys, "chunk"]).where("__a <= lo and hi <= __b")
-    return covering.groupBy(*keys, "chunk", "lo", "hi").agg(F.min_by("payload", "ord").alias("payload"))
+    """No interval is compared with another: each is cut into nodes of a binary tree over its chunk, a node keeps the one
+    listed first (combined before the shuffle), and the start of each segment asks the nodes above it. Between two starts or
+    ends, which are whole seconds and so at most ``width`` in a chunk, the winner is the same.
+    """
+    levels = width.bit_length() - 1
+    parts = _clipped(fixes, keys, F.col("start"), F.col("end"), width)
+    base = F.col("chunk") * width
+    parts = parts.select(*keys, "chunk", (F.col("__a") - base).alias("a"), (F.col("__b") - base).alias("b"), "ord", "payload")
+    cuts = parts.select(*keys, "chunk", F.explode(F.array(F.col("a"), F.col("b") + 1)).alias("cut")).distinct()
+    following = F.lead("cut").over(W.partitionBy(*keys, "chunk").orderBy("cut"))
+    spans = cuts.withColumn("stop", following - 1).where("stop is not null")
+    nodes = parts.withColumn("n", F.explode(_dyadic(F.col("a"), F.col("b"), levels))).select(*keys, "chunk", "n.level", "n.node", "ord", "payload")
+    nodes = nodes.groupBy(*keys, "chunk", "level", "node").agg(F.struct(F.min("ord").alias("ord"), F.min_by("payload", "ord").alias("payload")).alias("best"))
+    asks = spans.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("node", F.expr("shiftright(cast(cut as bigint), level)"))
+    met = asks.join(nodes, [*keys, "chunk", "level", "node"])
+    won = met.groupBy(*keys, "chunk", "cut", "stop").agg(F.min_by("best.payload", "best.ord").alias("payload"))
+    return won.select(*keys, "chunk", (F.col("cut") + base).alias("lo"), (F.col("stop") + base).alias("hi"), "payload")
 
 
 def _latest_start(fixes: DataFrame, keys: list[str], width: int, bounds: tuple[int, int] | None) -> DataFrame:
@@ -66,6 +100,8 @@ def segments(fixes: DataFrame, policy: str = FIRST_LISTED, keys: list[str] | Non
     starts the one listed last), even where it has ended and an earlier one still covers. Rows with a null start or end
     never match. ``bounds`` clips intervals to the span that will be asked for.
     """
+    if width & (width - 1):
+        raise ValueError("the width of chunks must be a power of two")
     keys = keys or []
     rows = fixes.where("start is not null and end is not null").select(*keys, "ord", "start", "end", "payload")
     if policy == LATEST_START:

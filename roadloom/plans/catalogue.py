@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from roadloom.common import null_tokens_to_null, table
 from roadloom.functions import scalars, timestamps
-from roadloom.operators.lookup import FIRST_LISTED, LATEST_START, lookup_interval, segments
+from roadloom.operators.lookup import CHUNK_S, FIRST_LISTED, LATEST_START, lookup_interval, segments
 from roadloom.operators.ranges import mark_in_range
 from roadloom.schema import file_kind
 
@@ -108,7 +108,7 @@ def lane_fix_segments(spark: SparkSession, d: str) -> DataFrame:
     _utc(spark)
     fixes = _fixes(spark, d).withColumn("payload", F.struct("ord"))
     index, facts = segments(fixes, FIRST_LISTED), _facts(spark, d)
-    hit = (F.floor(facts["t"] / F.lit(3600)) == index["chunk"]) & facts["t"].between(index["lo"], index["hi"])
+    hit = (F.floor(facts["t"] / F.lit(CHUNK_S)) == index["chunk"]) & facts["t"].between(index["lo"], index["hi"])
     return facts.join(index, hit).select("event_id", F.col("payload.ord").alias("ord"))
 
 

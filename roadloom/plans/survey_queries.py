@@ -10,6 +10,7 @@ from roadloom.operators.clocks import instants_text, with_instants
 from roadloom.operators.coverage import continuous_periods
 from roadloom.operators.drift import schema_changes, unified_table
 from roadloom.operators.rejects import parse_records, rejected_records
+from roadloom.plans import survey_sql
 
 
 def fix_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,4 +66,4 @@ def p4_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_loaded": p3_loaded, "p4_found": p4_found, "p4_table": p4_table}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"p1_found": survey_sql.P1, "p2_found": survey_sql.P2, "p4_found": survey_sql.P4}

@@ -36,7 +36,7 @@ def test_against_brute_force(spark, seed, policy, keyed):
         e = None if s is None or rng.random() < 0.05 else s + rng.choice([0, 1, 5, 30, -3, 400])
         fixes.append((rng.choice("ab"), i, s, e, f"p{i}"))
     facts = [(i, rng.choice(["a", "b", None]), rng.choice([None] + list(range(-250, 700)) * 3), 1, 1) for i in range(400)]
-    df = lookup_interval(spark.createDataFrame(facts, FACT), spark.createDataFrame(fixes, FIX), "t", policy, ["k"] if keyed else None, "found", width=37)
+    df = lookup_interval(spark.createDataFrame(facts, FACT), spark.createDataFrame(fixes, FIX), "t", policy, ["k"] if keyed else None, "found", width=32)
     got = [(r["id"], r["found"]) for r in df.collect()]
     assert len(got) == len(facts) and dict(got) == brute(facts, fixes, policy, keyed)
     assert df.columns == ["id", "k", "t", "payload", "chunk", "found"]
