@@ -11,6 +11,7 @@ from roadloom.llm.leaks import leaked_items
 from roadloom.llm.mixing import mix_sources
 from roadloom.llm.nearest import pair_nearest
 from roadloom.llm.quality import not_prose, quality_statistics
+from roadloom.plans import survey_sql
 from roadloom.plans.survey_queries import fix_instants, lmd_instants
 
 #: Production parameters.
@@ -56,4 +57,4 @@ QUERIES = {
     "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_mix": p8_mix, "p8_shares": p8_shares,
     "p9_found": p9_found, "p9_stats": p9_stats,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"p5_found": survey_sql.P5}
