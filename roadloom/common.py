@@ -59,3 +59,14 @@ def lookup_join(facts: DataFrame, small: DataFrame, keys: list[str], how: str =
     spread = facts.withColumn(salt, (F.rand(17) * SALTS).cast("int"))
     copies = small.withColumn(salt, F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
     return spread.join(copies, [*keys, salt], how).drop(salt)
+
+
+def bounded_shard(rows: DataFrame, columns: list[str], shard: int, shards: int, most: int) -> list[tuple]:
+    """The rows of one of several hash shards of a table of distinct rows, for a structure that is broadcast.
+
+    Hashing is nearly even, so ``most`` is set well above the even share; more than that is an error, never a loss of rows.
+    """
+    found = rows.where(F.pmod(F.xxhash64(*columns), F.lit(shards)) == shard).select(*columns).limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rows in shard {shard} of {shards}")
+    return sorted(tuple(r) for r in found)
