@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.common import filled, lookup_join
+from roadloom.common import bounded_shard, filled, lookup_join
 
 #: Entries in one broadcast tree at most.
 SHARD_ENTRIES = 50_000
@@ -191,14 +191,12 @@ def match_names(names: DataFrame, reference: DataFrame, name_col: str, id_col: s
     left out; of entries with the same plain form the smallest id holds.
     """
     typed = names.select(name_col).where(filled(F.col(name_col)).isNotNull()).distinct()
-    entries = reference.select(F.col(id_col).cast("int").alias("id"), F.col(entry_col).alias("name")).where("id is not null and name is not null")
+    entries = reference.select(F.col(id_col).cast("int").alias("id"), F.col(entry_col).alias("name")).where("id is not null and name is not null").distinct()
     shards = max(1, -(-entries.count() // SHARD_ENTRIES))
     schema = f"`{name_col}` string, found_id int, slips int"
     passes = []
     for shard in range(shards):
-        # Twice the even share bounds the unevenness of hashing; a shard is read row by row into its tree.
-        rows = entries.where(F.pmod(F.xxhash64("id"), F.lit(shards)) == shard).limit(2 * SHARD_ENTRIES).collect()
-        matcher = Matcher([(r["id"], r["name"]) for r in rows])
+        matcher = Matcher(bounded_shard(entries, ["id", "name"], shard, shards, 2 * SHARD_ENTRIES))
 
         def run(batches: Iterator[pd.DataFrame], matcher: Matcher = matcher) -> Iterator[pd.DataFrame]:
             for batch in batches:

@@ -24,7 +24,7 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -32,6 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadloom.common import bounded_shard
+
 WINDOW, RADIUS, BITS = 4, 3, 64
 STRETCH, NEEDED, SPAN = 20, 17, 32
 SHARD_ITEMS = 5_000
@@ -79,13 +81,14 @@ def _fingerprints(signs: np.ndarray) -> np.ndarray:
 class ItemIndex:
     """Windows of the passages, indexed by each of the blocks of their fingerprints."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.words = {item: plain_words(passage) for item, passage in items}
-        vocabulary = sorted({w for ws in self.words.values() for w in ws})
+    def __init__(self, items: tuple[tuple[int, str], ...]):
+        self.ids = [item for item, _ in items]
+        self.words = [plain_words(passage) for _, passage in items]
+        vocabulary = sorted({w for ws in self.words for w in ws})
         self.vocabulary = {w: i for i, w in enumerate(vocabulary)}
         self.signs = _word_bits(vocabulary)
         prints, owners = [], []
-        for item, words in self.words.items():
+        for item, words in enumerate(self.words):
             if len(words) >= max(STRETCH, WINDOW):
                 found = np.unique(_fingerprints(self.signs[[self.vocabulary[w] for w in words]]))
                 prints.append(found)
@@ -103,7 +106,7 @@ class ItemIndex:
         return ((prints >> np.uint64(b * self.width)) & np.uint64((1 << self.width) - 1)).astype(np.int64)
 
     def meetings(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position in ``prints``, item) of all passages' windows within the radius."""
+        """(position in ``prints``, number of passage) of all passages' windows within the radius."""
         at, items = [], []
         for b, (order, starts) in enumerate(self.blocks):
             keys = self._block(prints, b)
@@ -117,7 +120,7 @@ class ItemIndex:
         return np.concatenate(at), np.concatenate(items)
 
     def candidates(self, docs: list[list[str]]) -> set[tuple[int, int]]:
-        """(number of document, item) of all documents with a window near one of a passage."""
+        """(number of document, number of passage) of all documents with a window near one of a passage."""
         found: set[tuple[int, int]] = set()
         lookup = self.vocabulary
         ids: list[int] = []
@@ -155,6 +158,12 @@ class ItemIndex:
         return found
 
 
+@lru_cache(maxsize=2)
+def _index(items: tuple[tuple[int, str], ...]) -> ItemIndex:
+    """Built once in each Python worker, which serves many tasks."""
+    return ItemIndex(items)
+
+
 def holds_stretch(words: list[str], places: dict[str, list[int]], passage: list[str]) -> bool:
     """Does some stretch of the passage stand in the document: enough of its words, in order, close together?
 
@@ -198,32 +207,30 @@ def leaked_items(documents: DataFrame, items: DataFrame, id_col: str = "doc_id",
     """(``item_col``, ``id_col``): every document whose text holds a stretch of the passage of an item, once each.
 
     Null and empty texts hold nothing; passages of fewer than ``STRETCH`` words are never found; rows with a null id are
-    left out. Repeated documents rows with one id count once. Very long texts are read whole. Further columns are ignored.
+    left out. Repeated rows count once; an item with several passages leaks by any of them. Very long texts are read whole. Further columns are ignored.
     """
     docs = documents.select(F.col(id_col).cast("bigint").alias("d"), F.col(text_col).alias("t")).where("d is not null and t is not null")
-    wanted = items.select(F.col(item_col).cast("bigint").alias("i"), F.col(passage_col).alias("p")).where("i is not null and p is not null")
+    wanted = items.select(F.col(item_col).cast("bigint").alias("i"), F.col(passage_col).alias("p")).where("i is not null and p is not null").distinct()
     shards = max(1, -(-wanted.count() // SHARD_ITEMS))
     passes = []
     for shard in range(shards):
-        # Hash shards are uneven; twice the even share is far beyond that, and bounds what is collected.
-        rows = wanted.where(F.pmod(F.xxhash64("i"), F.lit(shards)) == shard).limit(2 * SHARD_ITEMS).collect()
-        listed = [(r["i"], r["p"]) for r in rows]
+        listed = tuple(bounded_shard(wanted, ["i", "p"], shard, shards, 2 * SHARD_ITEMS))
 
-        def run(batches: Iterator[pd.DataFrame], listed: list[tuple[int, str]] = listed) -> Iterator[pd.DataFrame]:
-            index = ItemIndex(listed)
+        def run(batches: Iterator[pd.DataFrame], listed: tuple[tuple[int, str], ...] = listed) -> Iterator[pd.DataFrame]:
+            index = _index(listed)
             for batch in batches:
                 texts = [plain_words(t) for t in batch["t"]]
                 ids = batch["d"].to_numpy()
                 found: list[tuple[int, int]] = []
                 last, places = -1, {}
-                for d, item in sorted(index.candidates(texts)):
+                for d, number in sorted(index.candidates(texts)):
                     if d != last:
                         last, places = d, defaultdict(list)
                         for k, w in enumerate(texts[d]):
                             if w in index.vocabulary:
                                 places[w].append(k)
-                    if holds_stretch(texts[d], places, index.words[item]):
-                        found.append((item, int(ids[d])))
+                    if holds_stretch(texts[d], places, index.words[number]):
+                        found.append((index.ids[number], int(ids[d])))
                 yield pd.DataFrame(found, columns=[item_col, id_col], dtype="int64")
 
         passes.append(docs.mapInPandas(run, f"`{item_col}` bigint, `{id_col}` bigint"))

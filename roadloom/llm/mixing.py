@@ -27,7 +27,7 @@ from roadloom.session import cut_lineage
 #: A public tokenizer's file; a parameter of every function that counts tokens.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Tokens of a block, rows of a chunk, sources that a list of targets may have.
-BLOCK_TOKENS, CHUNK_ROWS, MAX_SOURCES = 512, 50_000, 10_000
+BLOCK_TOKENS, CHUNK_ROWS, MAX_SOURCES = 512, 50_000, 500
 #: Texts that are encoded at a time, and fractional part of the golden ratio.
 ENCODE_ROWS, GOLDEN = 256, 0.6180339887498949
 

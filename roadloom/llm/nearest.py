@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Neighbours are looked for within stretches of this many tolerances.
-STRETCH = 720
+STRETCH = 60
 
 
 def neighbour_intervals(right: DataFrame, tolerance: int) -> DataFrame:

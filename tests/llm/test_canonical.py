@@ -48,7 +48,7 @@ def test_shards_merge_like_one_tree(spark, monkeypatch):
     reference = spark.createDataFrame([*enumerate(ROADS), (None, "x"), (99, None), (50, "zensuley lane")], "road_ref_id int, canonical string")
     one = sorted(map(tuple, map_names(rows, reference, ["source_file"], "name", "road_ref_id", "canonical").collect()))
     assert one == sorted((f, t, i) for f in "ab" for t, i in (("Zensuley Lane", 7), ("Zensuly Lane", 7), ("Route 18", 4), ("nothing like it", -1), ("x" * 5000, -1)))
-    monkeypatch.setattr(canonical, "SHARD_ENTRIES", 3)
+    monkeypatch.setattr(canonical, "SHARD_ENTRIES", 5)
     assert one == sorted(map(tuple, map_names(rows, reference, ["source_file"], "name", "road_ref_id", "canonical").collect()))
 
 
