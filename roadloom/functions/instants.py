@@ -42,6 +42,11 @@ ABBREVIATIONS = {
 }
 
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+#: Every way to write each month.
+MONTH_NAMES = (
+    ("jan", "january"), ("feb", "february"), ("mar", "march"), ("apr", "april"), ("may",), ("jun", "june"), ("jul", "july"), ("aug", "august"),
+    ("sep", "sept", "september"), ("oct", "october"), ("nov", "november"), ("dec", "december"),
+)
 
 _CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?(?:\s?([AaPp][Mm]))?"
 _ZONE = r"(?:\s?([Zz]|[+-]\d{2}(?::?\d{2})?|[A-Za-z]{2,5}))?"
@@ -92,46 +97,63 @@ def read_written_time(value: Column) -> Column:
     canon = (
         F.when(s.rlike(_ISO), F.regexp_replace(s, _ISO, "I|$1|$2|$3|$4|$5|$6|$7|$8|$9"))
         .when(s.rlike(_PAIR), F.regexp_replace(s, _PAIR, "P|$4|$1|$3|$5|$6|$7|$8|$9|$10"))
-        .when(s.rlike(_UNIX_MS), F.regexp_replace(s, _UNIX_MS, "M|$1"))
+        .when(s.rlike(_UNIX_MS), F.regexp_replace(s, _UNIX_MS, "M|$1|"))
         .when(s.rlike(_UNIX_S), F.regexp_replace(s, _UNIX_S, "S|$1|$2"))
         .when(s.rlike(_NAMED), F.regexp_replace(s, _NAMED, "N|$3|$2|$1|$4|$5|$6|$7|$8|$9"))
         .when(s.rlike(_COMPACT), F.regexp_replace(s, _COMPACT, "I|$1|$2|$3|$4|$5|$6|$7||$8"))
     )
-    return F.transform(F.array(F.split(canon, r"\|", -1)), _read_parts)[0]
+    # Each step binds its results to a lambda variable, so that the next reads them without computing them again.
+    numbers = F.transform(F.array(F.split(canon, r"\|", -1)), _parts_to_numbers)
+    return F.transform(F.transform(numbers, _check_numbers), _numbers_to_time)[0]
 
 
-def _read_parts(p: Column) -> Column:
+def _parts_to_numbers(p: Column) -> Column:
     at = lambda i: F.get(p, F.lit(i))
     kind = at(0)
-    y, a, b = _year(at(1)), _int(at(2)), _int(at(3))
-    named = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.substring(F.lower(at(2)), 1, 3))
-    full_name = F.lower(at(2)).rlike(
-        "^(jan|feb|mar|apr|may|jun|jul|aug|sept?|oct|nov|dec|january|february|march|april|june|july|august|september|october|november|december)$"
-    )
-    month = F.when(kind == "N", F.when(full_name, named)).otherwise(a)
-    ymd = F.when(real_date(y, month, b), days_from_civil(y, month, b))
-    dmy = F.when(real_date(y, b, a), days_from_civil(y, b, a))
-    pair = kind == "P"
-    hour, minute, second = _int(at(4)), _int(at(5)), F.coalesce(_int(at(6)), F.lit(0))
-    half = F.upper(at(8))
-    h24 = (
-        F.when(F.coalesce(half, F.lit("")) == "", F.when(hour <= 23, hour))
-        .when(hour.between(1, 12), hour % 12 + F.when(half == "PM", 12).otherwise(0))
-    )
-    clock = F.when((minute <= 59) & (second <= 59), ((h24 * 60 + minute) * 60 + second) * 1_000_000 + _micros(at(7)))
+    months = F.create_map(*[F.lit(x) for i, names in enumerate(MONTH_NAMES, 1) for name in names for x in (name, i)])
     unix = F.when(kind == "M", _int(at(1)) * 1000).when(kind == "S", _int(at(1)) * 1_000_000 + _micros(at(2)))
-    is_unix = kind.isin("M", "S")
     return F.when(
         kind.isNotNull(),
         F.struct(
-            F.when(is_unix, "unix").when(pair, "pair").otherwise("ymd").alias("kind"),
-            F.when(is_unix, F.lit(None)).when(pair, dmy).otherwise(ymd).cast("bigint").alias("dmy_days"),
-            F.when(is_unix, F.lit(None)).otherwise(ymd).cast("bigint").alias("mdy_days"),
-            F.when(~is_unix, clock).cast("bigint").alias("clock_us"),
-            unix.cast("bigint").alias("unix_us"),
-            F.when(is_unix, "Z").otherwise(F.upper(F.coalesce(at(9), F.lit("")))).alias("zone"),
+            kind.alias("kind"), unix.alias("unix_us"), F.when(~kind.isin("M", "S"), _year(at(1))).alias("y"),
+            F.when(kind == "N", F.try_element_at(months, F.lower(at(2)))).otherwise(_int(at(2))).alias("a"), _int(at(3)).alias("b"),
+            _int(at(4)).alias("h"), _int(at(5)).alias("mi"), F.coalesce(_int(at(6)), F.lit(0)).alias("s"), _micros(at(7)).alias("us"),
+            F.upper(F.coalesce(at(8), F.lit(""))).alias("half"), F.upper(F.coalesce(at(9), F.lit(""))).alias("zone"),
         ),
+    )
+
+
+def _check_numbers(n: Column) -> Column:
+    hour = (
+        F.when((n["mi"] > 59) | (n["s"] > 59), F.lit(None))
+        .when(n["half"] == "", F.when(n["h"] <= 23, n["h"]))
+        .when(n["h"].between(1, 12), n["h"] % 12 + F.when(n["half"] == "PM", 12).otherwise(0))
     )
+    dated = ~n["kind"].isin("M", "S")
+    return F.struct(
+        n.alias("n"), hour.alias("hour"), (dated & real_date(n["y"], n["a"], n["b"])).alias("ymd"),
+        ((n["kind"] == "P") & real_date(n["y"], n["b"], n["a"])).alias("dmy"),
+    )
+
+
+def _numbers_to_time(v: Column) -> Column:
+    n = v["n"]
+    pair, unix = n["kind"] == "P", n["kind"].isin("M", "S")
+    ymd = F.when(v["ymd"], days_from_civil(n["y"], n["a"], n["b"]))
+    dmy = F.when(v["dmy"], days_from_civil(n["y"], n["b"], n["a"]))
+    return F.when(
+        n.isNotNull(),
+        F.struct(
+            F.when(unix, "unix").when(pair, "pair").otherwise("ymd").alias("kind"), F.when(pair, dmy).otherwise(ymd).cast("bigint").alias("dmy_days"),
+            ymd.cast("bigint").alias("mdy_days"), F.when(~unix, ((v["hour"] * 60 + n["mi"]) * 60 + n["s"]) * 1_000_000 + n["us"]).cast("bigint").alias("clock_us"),
+            n["unix_us"].cast("bigint").alias("unix_us"), F.when(unix, "Z").otherwise(n["zone"]).alias("zone"),
+        ),
+    )
+
+
+def with_written_time(df: DataFrame, value: str, out: str) -> DataFrame:
+    """``df`` with ``read_written_time`` of column ``value`` as ``out``."""
+    return df.withColumn(out, read_written_time(F.col(f"`{value}`")))
 
 
 def offset_seconds(zone_mark: Column, zone_name: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.common import BROADCAST_ROWS, filled, fresh, lookup_join
-from roadloom.functions.instants import DAY_US, offset_seconds, read_written_time, utc_text, with_wall_clock_utc
+from roadloom.functions.instants import DAY_US, offset_seconds, with_written_time, utc_text, with_wall_clock_utc
 from roadloom.session import cut_lineage
 
 #: A written time may lie this much after its ingestion before it counts as a violation (clocks differ a little).
@@ -86,9 +86,20 @@ def _score_zones(facts: DataFrame, times: list[str], file_col: str, seen: str, z
     return scored.groupBy(file_col).agg(F.min_by("__zone", "__s").alias("__guessed_zone"))
 
 
-def file_histories(facts: DataFrame, times: list[str], files: DataFrame, file_col: str, seen: str, zones: list[str] | None = None) -> DataFrame:
-    """One row per file: its key, ``__zone`` and ``__day_first``; what ``files`` leaves open is estimated from ``facts``."""
-    spark = facts.sparkSession
+def _with_times(df: DataFrame, columns: list[str], times: list[str]) -> DataFrame:
+    for c, t in zip(columns, times):
+        df = with_written_time(df, c, t)
+    return df
+
+
+def file_histories(df: DataFrame, columns: list[str], files: DataFrame, file_col: str, seen_col: str, zones: list[str] | None = None) -> DataFrame:
+    """One row per file: its key, ``__zone`` and ``__day_first``; what ``files`` leaves open is estimated from ``df``.
+
+    Only rows of files that leave something open are read for their times.
+    """
+    spark = df.sparkSession
+    seen, *times = fresh("seen", *[f"t{i}" for i in range(len(columns))])
+    facts = df.select(F.col(file_col), _us(F.col(seen_col)).alias(seen), *[F.col(f"`{c}`") for c in columns])
     order = F.upper(F.trim(F.col("date_order")))
     zone = F.trim(F.col("zone_name"))
     known = files.where(F.col(file_col).isNotNull()).select(
@@ -100,7 +111,7 @@ def file_histories(facts: DataFrame, times: list[str], files: DataFrame, file_co
     known = cut_lineage(known)
     open_order = known.where("__day_first is null").drop("__day_first")
     evidence = lookup_join(facts, open_order, [file_col], "inner").withColumn(seen, F.coalesce(F.col("__exported"), F.col(seen)))
-    guessed = _score_orders(evidence, times, file_col, seen)
+    guessed = _score_orders(_with_times(evidence, columns, times), times, file_col, seen)
     out = known.alias("k").join(guessed.withColumnRenamed("__day_first", "__guess"), [file_col], "left")
     out = out.withColumn("__day_first", F.coalesce("__day_first", "__guess", F.lit(True))).drop("__guess")
     open_zone = out.where("__zone is null")
@@ -109,7 +120,7 @@ def file_histories(facts: DataFrame, times: list[str], files: DataFrame, file_co
     if candidates and not rows.isEmpty():
         rows = lookup_join(facts, open_zone.select(file_col, "__day_first", "__exported"), [file_col], "inner")
         rows = rows.withColumn(seen, F.coalesce(F.col("__exported"), F.col(seen)))
-        zoned = _score_zones(rows, times, file_col, seen, sorted(candidates))
+        zoned = _score_zones(_with_times(rows, columns, times), times, file_col, seen, sorted(candidates))
         out = out.join(zoned, [file_col], "left").withColumn("__zone", F.coalesce("__zone", "__guessed_zone")).drop("__guessed_zone")
     return cut_lineage(out.select(file_col, "__zone", "__day_first"))
 
@@ -127,11 +138,9 @@ def with_instants(
     """
     new = [f"{c}_{k}" for c in columns for k in ("us", "word")]
     df = df.drop(*new)
-    seen, *times = fresh("seen", *[f"t{i}" for i in range(len(columns))])
-    facts = df.withColumns({t: read_written_time(F.col(f"`{c}`")) for t, c in zip(times, columns)})
-    slim = facts.select(F.col(file_col), _us(F.col(seen_col)).alias(seen), *times)
-    histories = file_histories(slim, times, files, file_col, seen, zones)
-    out = lookup_join(facts, histories, [file_col])
+    times = fresh(*[f"t{i}" for i in range(len(columns))])
+    histories = file_histories(df, columns, files, file_col, seen_col, zones)
+    out = lookup_join(_with_times(df, columns, times), histories, [file_col])
     for t, c in zip(times, columns):
         raw, v = F.col(f"`{c}`"), F.col(t)
         local, offset, wall, word = fresh("local", "offset", "wall", "word")
