@@ -56,7 +56,9 @@ def lookup_join(facts: DataFrame, small: DataFrame, keys: list[str], how: str =
     if small.limit(limit + 1).count() <= limit:
         return facts.join(F.broadcast(small), keys, how)
     (salt,) = fresh("salt")
-    spread = facts.withColumn(salt, (F.rand(17) * SALTS).cast("int"))
+    # From the row itself, not at random: a task that runs again after a loss must send its rows to the same places.
+    kept = [c for c, t in facts.dtypes if not any(x in t for x in ("map<", "variant"))]
+    spread = facts.withColumn(salt, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in kept]), F.lit(SALTS)).cast("int"))
     copies = small.withColumn(salt, F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
     return spread.join(copies, [*keys, salt], how).drop(salt)
 

@@ -88,37 +88,56 @@ def samples(df: DataFrame, column: str, order: list[Column], n: int = SAMPLE_ROW
     return [r[0] for r in rows]
 
 
-def success_rates(df: DataFrame, column: str, formats: list[str]) -> dict[str, float]:
-    """Share of all rows that each format reads, in one pass."""
+@dataclass(frozen=True)
+class Choice:
+    """The format of a column and how it fares: rows, rows with a value, rows read by it."""
+
+    format: str | None
+    rows: int = 0
+    present: int = 0
+    read: int = 0
+
+    @property
+    def failures(self) -> int:
+        return self.present - self.read
+
+
+def try_formats(df: DataFrame, column: str, formats: list[str]) -> list[Choice]:
+    """How each format fares over all rows, in one pass."""
     c = F.col(f"`{column}`").cast("string")
-    row = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(read_format(c, f).isNotNull()).alias(f"f{i}") for i, f in enumerate(formats)]).first()
-    return {f: (row[f"f{i}"] / row["n"] if row["n"] else 0.0) for i, f in enumerate(formats)}
+    counts = [F.count(read_format(c, f)).alias(f"f{i}") for i, f in enumerate(formats)]
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.count(c).alias("there"), *counts).first()
+    return [Choice(f, row["n"], row["there"], row[f"f{i}"]) for i, f in enumerate(formats)]
 
 
-def choose_format(df: DataFrame, column: str, order: list[Column]) -> str | None:
+def choose_format(df: DataFrame, column: str, order: list[Column]) -> Choice:
     """The one format for a column: of the detected family, else of the fallback list; none if no value can be read."""
     found = samples(df, column, order)
-    if not found:
-        return None
     family = detect_family(found)
-    rates: dict[str, float] = {}
-    for formats in ([list(family.formats)] if family else []) + [list(FALLBACK)]:
-        rates |= success_rates(df, column, formats)
-        best = next((f for f in formats if rates[f] > ACCEPT_SHARE), None)
+    tried: list[Choice] = []
+    for formats in ([list(family.formats)] if family else []) + [list(FALLBACK)] if found else []:
+        tried += try_formats(df, column, formats)
+        best = next((t for t in tried if t.read > ACCEPT_SHARE * t.rows), None)
         if best:
             return best
     # Last resort, where nulls or rubbish are half of the column: what reads most of it.
-    best = max(rates, key=rates.get)
-    return best if rates[best] > 0 else None
+    best = max(tried, key=lambda t: t.read, default=Choice(None))
+    return best if best.read else Choice(None, best.rows, best.present)
 
 
-def parse_column(df: DataFrame, column: str, order: list[Column], out: str, required: bool = False) -> tuple[DataFrame, str | None]:
-    """``df`` with ``out`` (microseconds) of ``column``, and the chosen format. ``required``: an error where none fits."""
-    fmt = choose_format(df, column, order)
-    if fmt is None and required:
+def parse_column(df: DataFrame, column: str, order: list[Column], out: str, required: bool = False) -> tuple[DataFrame, Choice]:
+    """``df`` with ``out`` (microseconds) of ``column``, and the choice made. ``required``: an error where no value is read."""
+    choice = choose_format(df, column, order)
+    if choice.format is None and required:
         raise TimestampError(f"no value of {column} can be read as a time")
-    parsed = read_format(F.col(f"`{column}`").cast("string"), fmt) if fmt else F.lit(None).cast("bigint")
-    return df.withColumn(out, parsed), fmt
+    parsed = read_format(F.col(f"`{column}`").cast("string"), choice.format) if choice.format else F.lit(None).cast("bigint")
+    return df.withColumn(out, parsed), choice
+
+
+def failing_samples(df: DataFrame, column: str, parsed: str, n: int = 3) -> list[str]:
+    """A few of the values that could not be read, for a log."""
+    rows = df.where(F.col(f"`{column}`").isNotNull() & F.col(f"`{parsed}`").isNull()).select(F.col(f"`{column}`").cast("string")).limit(n).collect()
+    return [r[0] for r in rows]
 
 
 def has_iso_times(df: DataFrame, column: str, order: list[Column]) -> bool:
@@ -126,7 +145,7 @@ def has_iso_times(df: DataFrame, column: str, order: list[Column]) -> bool:
     return any("T" in s for s in samples(df, column, order, PROBE_ROWS))
 
 
-def parse_failures(df: DataFrame, raw: str, parsed: str) -> Column:
+def parse_failures(raw: str, parsed: str) -> Column:
     """Count of values that are there but could not be read."""
     return F.count_if(F.col(f"`{raw}`").isNotNull() & F.col(f"`{parsed}`").isNull())
 

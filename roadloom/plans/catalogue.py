@@ -274,7 +274,7 @@ def parse_failure_counts(spark: SparkSession, d: str) -> DataFrame:
     text = F.when(kind == "error", F.date_format("ts", "yyyy-MM-dd")).when(kind != "view", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
     rows = table(spark, d, "events").select(text.alias("v"))
     rows = rows.withColumn("us", timestamps.read_format(F.col("v"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
-    return rows.agg(timestamps.parse_failures(rows, "v", "us").alias("failures"), F.count_if(F.col("v").isNull()).alias("nulls"))
+    return rows.agg(timestamps.parse_failures("v", "us").alias("failures"), F.count_if(F.col("v").isNull()).alias("nulls"))
 
 
 @_query(f"SELECT (SELECT count(*) FROM events) AS rows_in, (SELECT count(*) FROM ({_FIRST_SQL})) AS rows_out, (SELECT count(*) FROM ({_FIRST_SQL}) WHERE ignore) AS ignored")

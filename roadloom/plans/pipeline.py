@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from roadloom.functions import scalars, timestamps
 from roadloom.operators.lookup import FIRST_LISTED, LATEST_START, lookup_interval
 from roadloom.operators.ranges import mark_in_range
-from roadloom.schema import KILOMETRE_NAMES, LANE_FIX_COLUMNS, SchemaError, missing_exact, missing_flexible, need, resolve
-from roadloom.sources.csv import COMPLETE_SUFFIX, PLACE, data_columns, output_name, read_kind, read_text_csv, with_place, write_csv
+from roadloom.schema import KILOMETRE_NAMES, LANE_FIX_COLUMNS, SchemaError, missing_exact, missing_flexible, need
+from roadloom.sources.csv import (
+    BRIEF_SUFFIX, COMPLETE_SUFFIX, FIX_SUFFIX, PLACE, data_columns, output_name, read_kind, read_text_csv, read_typed_csv, with_place, write_csv,
+)
 
 log = logging.getLogger("roadloom")
 
@@ -40,6 +42,14 @@ def _tell(progress: Progress | None, step: str) -> None:
         progress(message, percent)
 
 
+def _read_times(df: DataFrame, column: str, order: list, out: str, report: Report) -> DataFrame:
+    parsed, choice = timestamps.parse_column(df, column, order, out, required=True)
+    report.formats[column], report.counts[f"{column}_failures"] = choice.format, choice.failures
+    if choice.failures:
+        log.warning("%d values of %s can't be read as %s, such as %s", choice.failures, column, choice.format, timestamps.failing_samples(parsed, column, out))
+    return parsed
+
+
 def apply_lane_fixes(
     lmd: DataFrame, fixes: DataFrame, policy: str = FIRST_LISTED, report: Report | None = None, progress: Progress | None = None, open_start_on_null: bool = False
 ) -> DataFrame:
@@ -61,10 +71,10 @@ def apply_lane_fixes(
     time_col, lane_col, road_col = (need(lmd.columns, f, "combined LMD") for f in ("TestDateUTC", "Lane", "RoadName"))
     order = [F.col(c) for c in PLACE]
     _tell(progress, "times")
-    fixes, report.formats["From"] = timestamps.parse_column(fixes, "From", order, "__from_us", required=True)
-    fixes, report.formats["To"] = timestamps.parse_column(fixes, "To", order, "__to_us", required=True)
     columns = data_columns(lmd)
-    rows, report.formats[time_col] = timestamps.parse_column(lmd, time_col, order, "__us", required=True)
+    fixes = _read_times(fixes, "From", order, "__from_us", report)
+    fixes = _read_times(fixes, "To", order, "__to_us", report)
+    rows = _read_times(lmd, time_col, order, "__us", report)
     iso = timestamps.has_iso_times(lmd, time_col, order)
     _tell(progress, "lanes")
     start = scalars.epoch_seconds(F.col("__from_us"))
@@ -135,10 +145,41 @@ def run_pipeline(
     _tell(progress, "write")
     path = out_path or output_name(lmd_path, COMPLETE_SUFFIX)
     write_csv(rows.drop("__matched"), path, in_order=False, single=single)
-    report.counts = {"rows_in": lmd.count(), **{("rows_out" if k == "rows" else k): v for k, v in written.get.items()}}
+    report.counts |= {"rows_in": lmd.count(), **{("rows_out" if k == "rows" else k): v for k, v in written.get.items()}}
     guard_rows(rows, report.counts["rows_in"], report.counts["rows_out"])
     _tell(progress, "done")
     return path, report
 
 
-__all__ = ["FIRST_LISTED", "LATEST_START", "Report", "apply_lane_fixes", "flag_in_brief", "guard_rows", "resolve", "run_pipeline"]
+def run_lane_fixes(
+    spark: SparkSession, lmd_path: str, fixes_path: str, out_path: str | None = None, policy: str = FIRST_LISTED, plate_required: bool = True,
+    progress: Progress | None = None, single: bool = False,
+) -> tuple[str, Report]:
+    """The lane fixes alone: LMD and fixes to ``<stem>_fixlane_<date>.csv``."""
+    report = Report()
+    _tell(progress, "read")
+    fixes, lmd = read_kind(spark, fixes_path, "lane_fixes", plate_required), read_kind(spark, lmd_path, "combined_lmd")
+    rows = apply_lane_fixes(lmd, fixes, policy, report, progress)
+    path = out_path or output_name(lmd_path, FIX_SUFFIX)
+    _tell(progress, "write")
+    write_csv(rows.drop("__matched"), path, single=single)
+    _tell(progress, "done")
+    return path, report
+
+
+def run_brief(spark: SparkSession, input_path: str, brief_path: str, out_path: str | None = None, strict: bool = False, progress: Progress | None = None, single: bool = False) -> str:
+    """The brief's ranges alone, on any table with road and chainage, to ``<stem>_workbrief_<date>.csv``.
+
+    Types are inferred; a column of times that the reader recognised is written as standard time text.
+    """
+    _tell(progress, "read")
+    rows = flag_in_brief(with_place(read_typed_csv(spark, input_path)), read_text_csv(spark, brief_path), strict, progress)
+    times = {c: scalars.standard_time_text(F.unix_micros(F.col(f"`{c}`").cast("timestamp"))) for c, t in rows.dtypes if t.startswith("timestamp")}
+    path = out_path or output_name(input_path, BRIEF_SUFFIX)
+    _tell(progress, "write")
+    write_csv(rows.withColumns(times) if times else rows, path, single=single)
+    _tell(progress, "done")
+    return path
+
+
+__all__ = ["FIRST_LISTED", "LATEST_START", "Report", "apply_lane_fixes", "flag_in_brief", "guard_rows", "run_brief", "run_lane_fixes", "run_pipeline"]

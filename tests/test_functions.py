@@ -54,8 +54,12 @@ def us(*parts):
 
 def parse(spark, values):
     df = spark.createDataFrame(list(enumerate(values)), "i int, v string")
-    out, fmt = timestamps.parse_column(df, "v", [F.col("i")], "us")
-    return [r["us"] for r in out.orderBy("i").collect()], fmt
+    out, choice = timestamps.parse_column(df, "v", [F.col("i")], "us")
+    got = [r["us"] for r in out.orderBy("i").collect()]
+    if choice.format:
+        assert choice.failures == sum(v is not None and g is None for v, g in zip(values, got)) == out.agg(timestamps.parse_failures("v", "us")).first()[0]
+        assert len(timestamps.failing_samples(out, "v", "us")) == min(3, choice.failures)
+    return got, choice.format
 
 
 @pytest.mark.parametrize(

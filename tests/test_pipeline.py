@@ -3,7 +3,7 @@ import glob
 
 import pytest
 
-from roadloom.plans.pipeline import FIRST_LISTED, LATEST_START, apply_lane_fixes, flag_in_brief, guard_rows, run_pipeline
+from roadloom.plans.pipeline import FIRST_LISTED, LATEST_START, apply_lane_fixes, flag_in_brief, guard_rows, run_brief, run_lane_fixes, run_pipeline
 from roadloom.schema import SchemaError, file_kind, missing_exact, missing_flexible, resolve
 from roadloom.sources.csv import count_rows, output_name, read_kind, read_text_csv, read_typed_csv, write_csv
 
@@ -79,6 +79,15 @@ def test_wrong_files(spark, files, tmp_path):
             step()
 
 
+def test_the_steps_alone(spark, files, tmp_path):
+    path, report = run_lane_fixes(spark, *files[:2], out_path=str(tmp_path / "f"), single=True)
+    lines = open(glob.glob(f"{path}/part-*.csv")[0]).read().splitlines()
+    assert len(lines) == 9 and lines[5] == "29/10/2024 08:25:00.000,4,Ring,102,,True" and report.counts["From_failures"] == 0
+    path = run_brief(spark, files[0], files[2], out_path=str(tmp_path / "b"), single=True)
+    lines = open(glob.glob(f"{path}/part-*.csv")[0]).read().splitlines()
+    assert [x.rsplit(",", 1)[1] for x in lines[1:]] == [str(b) for b in BRIEFED] and lines[1].startswith("29/10/2024 08:00:00.000,L1,M1 North A,101,1.2")
+
+
 def test_own_flags_and_strictness(spark):
     lmd = spark.createDataFrame([("2024-01-01T00:00:00Z", "L1", "A B", "yes"), ("2024-01-01T00:00:09Z", "L1", "A B", "T")], "TestDateUTC string, lane string, `Road Name` string, Ignore string")
     fixes = spark.createDataFrame([("2024-01-01 00:00:05", "2024-01-01 00:00:10", "-1", "0")], "From string, To string, Lane string, Ignore string")
