@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 #: What counts as null in the text columns of survey files.
 NULL_TOKENS = ("", "NULL", "null", "NA")
 
-#: A side of a join is broadcast only when it was counted to have at most this many (narrow) rows.
-BROADCAST_ROWS = 200_000
+#: A side of a join is broadcast only when it was measured to have at most so many rows and so many characters.
+BROADCAST_ROWS, BROADCAST_CHARS = 200_000, 64_000_000
 
 #: Copies of the small side, and salts of the large one, where a counted side is too long to be broadcast.
 SALTS = 16
@@ -47,13 +47,20 @@ def fresh(*hints: str) -> list[str]:
     return [f"__{h}_{tag}" for h in hints]
 
 
+def fits_broadcast(small: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    """Is the table within the bounds of a broadcast? At most one row beyond the bound is looked at."""
+    sizes = small.limit(limit + 1).select(F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in small.columns]))).alias("chars"))
+    row = sizes.agg(F.count(F.lit(1)), F.sum("chars")).first()
+    return row[0] <= limit and (row[1] or 0) <= BROADCAST_CHARS
+
+
 def lookup_join(facts: DataFrame, small: DataFrame, keys: list[str], how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
     """Equi-join of a long table with one that holds each key once.
 
-    ``small`` is counted: up to ``limit`` rows it is broadcast and the facts are not moved. Beyond that the join is
+    ``small`` is measured: up to ``limit`` rows it is broadcast and the facts are not moved. Beyond that the join is
     salted - every fact goes to one of ``SALTS`` copies of its key - so that a key with a third of all facts is spread.
     """
-    if small.limit(limit + 1).count() <= limit:
+    if fits_broadcast(small, limit):
         return facts.join(F.broadcast(small), keys, how)
     (salt,) = fresh("salt")
     # From the row itself, not at random: a task that runs again after a loss must send its rows to the same places.

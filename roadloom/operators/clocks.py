@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.common import BROADCAST_ROWS, filled, fresh, lookup_join
+from roadloom.common import filled, fits_broadcast, fresh, lookup_join
 from roadloom.functions.instants import DAY_US, offset_seconds, with_written_time, utc_text, with_wall_clock_utc
 from roadloom.session import cut_lineage
 
@@ -116,7 +116,7 @@ def file_histories(df: DataFrame, columns: list[str], files: DataFrame, file_col
     out = out.withColumn("__day_first", F.coalesce("__day_first", "__guess", F.lit(True))).drop("__guess")
     open_zone = out.where("__zone is null")
     candidates = zones or [r[0] for r in known.select("__zone").where("__zone is not null").distinct().limit(700).collect()]
-    rows = facts.select(file_col).join(F.broadcast(open_zone) if open_zone.count() <= BROADCAST_ROWS else open_zone, [file_col], "left_semi")
+    rows = facts.select(file_col).join(F.broadcast(open_zone) if fits_broadcast(open_zone) else open_zone, [file_col], "left_semi")
     if candidates and not rows.isEmpty():
         rows = lookup_join(facts, open_zone.select(file_col, "__day_first", "__exported"), [file_col], "inner")
         rows = rows.withColumn(seen, F.coalesce(F.col("__exported"), F.col(seen)))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from roadloom.common import BROADCAST_ROWS
+from roadloom.common import fits_broadcast
 
 FIRST_LISTED, LATEST_START = "first_listed", "latest_start"
 #: Seconds of a chunk; a power of two.
@@ -123,7 +123,7 @@ def lookup_interval(
     span = facts.agg(F.min(at), F.max(at)).first()
     bounds = (span[0], span[1]) if span[0] is not None else (0, -1)
     index = segments(fixes, policy, keys, bounds, width).select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("chunk").alias("__chunk"), F.col("lo").alias("__lo"), F.col("hi").alias("__hi"), F.col("payload").alias("__payload"))
-    if index.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if fits_broadcast(index):
         index = F.broadcast(index)
     where = (_chunk(facts[at], width) == index["__chunk"]) & facts[at].between(index["__lo"], index["__hi"])
     for k in keys:

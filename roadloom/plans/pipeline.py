@@ -14,7 +14,7 @@ from roadloom.operators.lookup import FIRST_LISTED, LATEST_START, lookup_interva
 from roadloom.operators.ranges import mark_in_range
 from roadloom.schema import KILOMETRE_NAMES, LANE_FIX_COLUMNS, SchemaError, missing_exact, missing_flexible, need
 from roadloom.sources.csv import (
-    BRIEF_SUFFIX, COMPLETE_SUFFIX, FIX_SUFFIX, PLACE, data_columns, output_name, read_kind, read_text_csv, read_typed_csv, with_place, write_csv,
+    BRIEF_SUFFIX, COMPLETE_SUFFIX, LANES_SUFFIX, PLACE, data_columns, output_name, read_kind, read_text_csv, read_typed_csv, with_place, write_csv,
 )
 
 log = logging.getLogger("roadloom")
@@ -131,7 +131,7 @@ def guard_rows(df: DataFrame, expected: int, found: int) -> DataFrame:
 
 def run_pipeline(
     spark: SparkSession, lmd_path: str, fixes_path: str, brief_path: str, out_path: str | None = None, policy: str = FIRST_LISTED, strict: bool = False,
-    plate_required: bool = True, progress: Progress | None = None, single: bool = False,
+    plate_required: bool = True, progress: Progress | None = None, single: bool = False, suffix: str = COMPLETE_SUFFIX,
 ) -> tuple[str, Report]:
     """All three files to one enriched CSV next to the LMD; (path, report). Failures raise typed errors."""
     report = Report()
@@ -143,7 +143,7 @@ def run_pipeline(
     # Counted above the sort: sorting reads its input twice, once to find its ranges.
     rows = rows.orderBy(*PLACE).observe(written, F.count(F.lit(1)).alias("rows"), F.count_if("__matched").alias("matched"), F.count_if("InBrief").alias("in_brief"))
     _tell(progress, "write")
-    path = out_path or output_name(lmd_path, COMPLETE_SUFFIX)
+    path = out_path or output_name(lmd_path, suffix)
     write_csv(rows.drop("__matched"), path, in_order=False, single=single)
     report.counts |= {"rows_in": lmd.count(), **{("rows_out" if k == "rows" else k): v for k, v in written.get.items()}}
     guard_rows(rows, report.counts["rows_in"], report.counts["rows_out"])
@@ -153,29 +153,32 @@ def run_pipeline(
 
 def run_lane_fixes(
     spark: SparkSession, lmd_path: str, fixes_path: str, out_path: str | None = None, policy: str = FIRST_LISTED, plate_required: bool = True,
-    progress: Progress | None = None, single: bool = False,
+    progress: Progress | None = None, single: bool = False, suffix: str = LANES_SUFFIX,
 ) -> tuple[str, Report]:
-    """The lane fixes alone: LMD and fixes to ``<stem>_fixlane_<date>.csv``."""
+    """The lane fixes alone: LMD and fixes to ``<stem>_<suffix>_<date>.csv``."""
     report = Report()
     _tell(progress, "read")
     fixes, lmd = read_kind(spark, fixes_path, "lane_fixes", plate_required), read_kind(spark, lmd_path, "combined_lmd")
     rows = apply_lane_fixes(lmd, fixes, policy, report, progress)
-    path = out_path or output_name(lmd_path, FIX_SUFFIX)
+    path = out_path or output_name(lmd_path, suffix)
     _tell(progress, "write")
     write_csv(rows.drop("__matched"), path, single=single)
     _tell(progress, "done")
     return path, report
 
 
-def run_brief(spark: SparkSession, input_path: str, brief_path: str, out_path: str | None = None, strict: bool = False, progress: Progress | None = None, single: bool = False) -> str:
-    """The brief's ranges alone, on any table with road and chainage, to ``<stem>_workbrief_<date>.csv``.
+def run_brief(
+    spark: SparkSession, input_path: str, brief_path: str, out_path: str | None = None, strict: bool = False, progress: Progress | None = None,
+    single: bool = False, suffix: str = BRIEF_SUFFIX,
+) -> str:
+    """The brief's ranges alone, on any table with road and chainage, to ``<stem>_<suffix>_<date>.csv``.
 
     Types are inferred; a column of times that the reader recognised is written as standard time text.
     """
     _tell(progress, "read")
     rows = flag_in_brief(with_place(read_typed_csv(spark, input_path)), read_text_csv(spark, brief_path), strict, progress)
     times = {c: scalars.standard_time_text(F.unix_micros(F.col(f"`{c}`").cast("timestamp"))) for c, t in rows.dtypes if t.startswith("timestamp")}
-    path = out_path or output_name(input_path, BRIEF_SUFFIX)
+    path = out_path or output_name(input_path, suffix)
     _tell(progress, "write")
     write_csv(rows.withColumns(times) if times else rows, path, single=single)
     _tell(progress, "done")

@@ -14,8 +14,8 @@ from roadloom.schema import SchemaError, require_kind
 
 #: Columns that keep a row's place in its file.
 PLACE = ["__file", "__block", "__row"]
-#: Suffixes of outputs.
-FIX_SUFFIX, BRIEF_SUFFIX, COMPLETE_SUFFIX = "fixlane", "workbrief", "complete"
+#: Suffixes of outputs, unless the caller gives another.
+LANES_SUFFIX, BRIEF_SUFFIX, COMPLETE_SUFFIX = "lanes", "workbrief", "complete"
 EXTENSIONS = (".csv",)
 
 
