@@ -36,11 +36,14 @@ SHORT_FORMS = {
     "lower": ("lwr", "lr"), "old": ("olde",), "north": ("n", "nth", "nrth"), "south": ("s", "sth"), "east": ("e",), "west": ("w", "wst"),
 }
 _LONG = {short: long for long, shorts in SHORT_FORMS.items() for short in shorts}
+#: Words that belong to the number of a road behind them.
+_BEFORE_NUMBERS = frozenset(x for long in ("highway", "motorway", "route", "road") for x in (long, *SHORT_FORMS[long])) | {"m", "sh"}
 _COMPASS = ("north", "south", "east", "west")
 _LOOKALIKE_DIGITS = str.maketrans("013456789", "oleasbtbg")
 _NUMBERED = re.compile(r"(rt|rte|route|sh|hwy|hway|highway|m|mwy|mway|motorway)(\d+)")
-#: What crews add behind a name: ramps, directions of travel, parts, lanes.
-_ADDITION = re.compile(r"(?: (?:ramp|(?:north|south|east|west)bound|resurvey|(?:section|sec|pt|part|lane) \d+))+$")
+#: What crews add behind a name, alone or before a number. Additions are typed as freely as names.
+ADDED_WORDS = ("ramp", "northbound", "southbound", "eastbound", "westbound", "resurvey")
+ADDED_BEFORE_NUMBERS = ("section", "sec", "part", "pt", "lane")
 
 
 def plain_form(name: str) -> str:
@@ -63,11 +66,9 @@ def plain_form(name: str) -> str:
             words.append(word)
     while words and words[0] == "the":
         words.pop(0)
-    s = _ADDITION.sub("", " ".join(words))
-    words = s.split()
+    words = _without_additions(words)
     if len(words) > 2 and words[-1] in ("a", "b", "c", "d"):
-        words.pop()
-        words = _ADDITION.sub("", " ".join(words)).split()
+        words = _without_additions(words[:-1])
     out: list[str] = []
     for i, word in enumerate(words):
         if word == "sh":
@@ -82,6 +83,23 @@ def plain_form(name: str) -> str:
     return " ".join(out)
 
 
+def _is_nearly(word: str, known: tuple[str, ...]) -> bool:
+    return any(word == k or len(k) >= 2 and abs(len(word) - len(k)) <= 1 and slips(word, k) <= 1 for k in known)
+
+
+def _without_additions(words: list[str]) -> list[str]:
+    """Cut off additions at the end, mistyped ones too, as long as two words of a name are left before them."""
+    while len(words) >= 3:
+        last = words[-1]
+        if _is_nearly(last, ADDED_WORDS):
+            words = words[:-1]
+        elif last.isdigit() and (words[-2] in ADDED_BEFORE_NUMBERS or len(words) >= 4 and words[-2] not in _BEFORE_NUMBERS and _is_nearly(words[-2], ADDED_BEFORE_NUMBERS)):
+            words = words[:-2]
+        else:
+            break
+    return words
+
+
 def _number_last(words: list[str]) -> list[str]:
     """``m61 motorway`` and ``m 61`` as ``motorway m61``."""
     if "motorway" in words or (len(words) <= 2 and words and re.fullmatch(r"m\d*", words[0])):

@@ -34,7 +34,7 @@ def test_distance_and_tree():
     [
         ("ASHWHAGATE DR NTH", 0), ("South Ashwhagate Drive", 1), ("N Ashwhagate Drv", 0), ("The Ashwhāgate.Drive.South ", 1), ("Ahswhagate Drive North - Lane 1", 0),
         ("St. H'way 43", 2), ("SH43", 2), ("S.H.43", 2), ("State Hwy 44", None), ("M-way M61", 3), ("M61 Motorway", 3), ("Mwy_M61 ramp", 3), ("Rte-18", 4), ("Rt18;", 4), ("Route 19", None),
-        ("Elmogate Wexkouham Xway [resurvey]", 5), ("ElmogateW-exkouham Expressway", 5), ("Upr Ulfec0mbe Dr pt 2", 6), ("Zensuley La B", 7), ("Zensuley Road", None), ("??", None), ("", None), ("as above", None),
+        ("Elmogate Wexkouham Xway [resurvey]", 5), ("ElmogateW-exkouham Expressway", 5), ("Upr Ulfec0mbe Dr pt 2", 6), ("Zensuley La B", 7), ("Ashwhagate Drive South nrothbound", 1), ("Zensuley Lane setcion 4 northhbound", 7), ("Zensuley Lane tp 2", 7), ("Route 18 rmap", 4), ("Zensuley Lane Laen 1", 7), ("Zensuley Road", None), ("??", None), ("", None), ("as above", None),
     ],
 )
 def test_names(typed, road):
