@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from roadloom.common import fits_broadcast
+from roadloom.session import cut_lineage
 
 FIRST_LISTED, LATEST_START = "first_listed", "latest_start"
 #: Seconds of a chunk; a power of two.
@@ -32,26 +33,18 @@ def _clipped(df: DataFrame, keys: list[str], lo: Column, hi: Column, width: int)
     return rows.withColumns({"__a": F.greatest(F.col("__a"), edge), "__b": F.least(F.col("__b"), edge + (width - 1))})
 
 
-def _dyadic(a: Column, b: Column, levels: int) -> Column:
-    """Array of (level, node): the at most two nodes of each level of a binary tree that together are just [a, b]."""
-    begin = F.struct(a.cast("bigint").alias("l"), (b + 1).cast("bigint").alias("r"), F.array().cast("array<struct<level:int,node:bigint>>").alias("nodes"))
+def _tree_nodes(parts: DataFrame, levels: int) -> DataFrame:
+    """Each part [a, b] as the nodes (level, node) of a binary tree that together are just it: at most two of each level.
 
-    def step(acc: Column, level: Column) -> Column:
-        left, right = acc["l"], acc["r"]
-        odd = lambda x: (x % 2 == 1) & (left < right)
-        node = lambda x: F.struct(level.cast("int").alias("level"), x.cast("bigint").alias("node"))
-        up = left + F.when(odd(left), 1).otherwise(0)
-        takes_right = (right % 2 == 1) & (up < right)
-        down = right - F.when(takes_right, 1).otherwise(0)
-        picked = F.concat(
-            acc["nodes"],
-            F.when(odd(left), F.array(node(left))).otherwise(F.array().cast("array<struct<level:int,node:bigint>>")),
-            F.when(takes_right, F.array(node(down))).otherwise(F.array().cast("array<struct<level:int,node:bigint>>")),
-        )
-        half = lambda x: F.floor(x / 2).cast("bigint")
-        return F.struct(half(up).alias("l"), half(down).alias("r"), picked.alias("nodes"))
-
-    return F.aggregate(F.sequence(F.lit(0), F.lit(levels)), begin, step, lambda acc: acc["nodes"])
+    Going up the tree, level k has left the nodes from ceil(a / 2^k) to floor((b + 1) / 2^k), the last not counted; an odd
+    one at either end is taken there, as its parent would reach out.
+    """
+    rows = parts.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    rows = rows.withColumns({"__l": F.expr("shiftright(a + shiftleft(1L, level) - 1, level)"), "__r": F.expr("shiftright(b + 1, level)")})
+    left = F.when((F.col("__l") % 2 == 1) & (F.col("__l") < F.col("__r")), F.col("__l"))
+    right = F.when((F.col("__r") % 2 == 1) & (F.col("__l") + F.col("__l") % 2 < F.col("__r")), F.col("__r") - 1)
+    rows = rows.where(left.isNotNull() | right.isNotNull())
+    return rows.withColumn("node", F.explode(F.array_compact(F.array(left, right)))).drop("__l", "__r")
 
 
 def _first_listed(fixes: DataFrame, keys: list[str], width: int) -> DataFrame:
@@ -62,13 +55,12 @@ def _first_listed(fixes: DataFrame, keys: list[str], width: int) -> DataFrame:
     levels = width.bit_length() - 1
     parts = _clipped(fixes, keys, F.col("start"), F.col("end"), width)
     base = F.col("chunk") * width
-    parts = parts.select(*keys, "chunk", (F.col("__a") - base).alias("a"), (F.col("__b") - base).alias("b"), "ord", "payload")
+    parts = parts.select(*keys, "chunk", (F.col("__a") - base).cast("bigint").alias("a"), (F.col("__b") - base).cast("bigint").alias("b"), "ord", "payload")
     cuts = parts.select(*keys, "chunk", F.explode(F.array(F.col("a"), F.col("b") + 1)).alias("cut")).distinct()
     following = F.lead("cut").over(W.partitionBy(*keys, "chunk").orderBy("cut"))
     spans = cuts.withColumn("stop", following - 1).where("stop is not null")
-    nodes = parts.withColumn("n", F.explode(_dyadic(F.col("a"), F.col("b"), levels))).select(*keys, "chunk", "n.level", "n.node", "ord", "payload")
-    nodes = nodes.groupBy(*keys, "chunk", "level", "node").agg(F.struct(F.min("ord").alias("ord"), F.min_by("payload", "ord").alias("payload")).alias("best"))
-    asks = spans.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("node", F.expr("shiftright(cast(cut as bigint), level)"))
+    nodes = _tree_nodes(parts, levels).groupBy(*keys, "chunk", "level", "node").agg(F.struct(F.min("ord").alias("ord"), F.min_by("payload", "ord").alias("payload")).alias("best"))
+    asks = spans.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("node", F.expr("shiftright(cut, level)"))
     met = asks.join(nodes, [*keys, "chunk", "level", "node"])
     won = met.groupBy(*keys, "chunk", "cut", "stop").agg(F.min_by("best.payload", "best.ord").alias("payload"))
     return won.select(*keys, "chunk", (F.col("cut") + base).alias("lo"), (F.col("stop") + base).alias("hi"), "payload")
@@ -123,6 +115,7 @@ def lookup_interval(
     span = facts.agg(F.min(at), F.max(at)).first()
     bounds = (span[0], span[1]) if span[0] is not None else (0, -1)
     index = segments(fixes, policy, keys, bounds, width).select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("chunk").alias("__chunk"), F.col("lo").alias("__lo"), F.col("hi").alias("__hi"), F.col("payload").alias("__payload"))
+    index = cut_lineage(index)
     if fits_broadcast(index):
         index = F.broadcast(index)
     where = (_chunk(facts[at], width) == index["__chunk"]) & facts[at].between(index["__lo"], index["__hi"])

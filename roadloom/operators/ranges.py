@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from roadloom.common import fits_broadcast
 from roadloom.operators.coverage import continuous_periods
+from roadloom.session import cut_lineage
 
 #: Values are compared exactly to this fraction of a unit when ranges are merged, and indexed by cells of so many units.
 SCALE, CELL = 1000, 1000
@@ -32,6 +33,7 @@ def mark_in_range(facts: DataFrame, ranges: DataFrame, key: str, value: str, out
     width = CELL * SCALE
     cells = F.explode(F.sequence(F.floor(F.col("start_us") / F.lit(width)), F.floor(F.col("end_us") / F.lit(width))))
     index = merged.select(F.col("k").alias("__k"), (F.col("start_us") / F.lit(SCALE)).alias("__lo"), (F.col("end_us") / F.lit(SCALE)).alias("__hi"), cells.alias("__cell"))
+    index = cut_lineage(index)
     if fits_broadcast(index):
         index = F.broadcast(index)
     facts = facts.drop(out)
