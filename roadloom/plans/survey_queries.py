@@ -52,7 +52,7 @@ def p3_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The valid records of both kinds, as they load."""
     parsed = parse_records(table(spark, sf_dir, "raw_lines"))
     at = lambda c: F.get("fields", (F.array_position("names", F.lit(c)) - 1).cast("int"))
-    return parsed.where("reason is null").select("line_id", "kind", *[at(c).alias(c) for c in ("TestDateUTC", "From", "To", "Lane", "Ignore", "Plate", "RoadName")])
+    return parsed.where("reason is null").select("line_id", "kind", *[at(c).alias(c) for c in survey_sql.LOADED_FIELDS])
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,9 +61,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rows of all feeds under one set of columns, whatever their files call them."""
-    fields = ["TestDateUTC", "From", "To", "Lane", "Ignore", "Plate", "RoadName", "RoadID", "Chainage"]
-    return unified_table(table(spark, sf_dir, "feed_rows"), fields)
+    return unified_table(table(spark, sf_dir, "feed_rows"), list(survey_sql.TABLE_FIELDS))
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_loaded": p3_loaded, "p4_found": p4_found, "p4_table": p4_table}
-SQL: dict[str, str] = {"p1_found": survey_sql.P1, "p2_found": survey_sql.P2, "p4_found": survey_sql.P4}
+SQL: dict[str, str] = {
+    "p1_found": survey_sql.P1, "p2_found": survey_sql.P2, "p3_found": survey_sql.P3, "p3_loaded": survey_sql.P3_LOADED, "p4_found": survey_sql.P4, "p4_table": survey_sql.P4_TABLE,
+}

@@ -106,3 +106,62 @@ turned AS (SELECT feed, file_seq, field, kind, lag(kind) OVER (PARTITION BY feed
 SELECT feed, file_seq, CASE WHEN o IS NULL THEN 'added' WHEN n IS NULL THEN 'removed' ELSE 'renamed' END AS change, coalesce(o, '') AS old_name, coalesce(n, '') AS new_name
 FROM both_sides WHERE o IS DISTINCT FROM n
 UNION ALL SELECT feed, file_seq, 'retyped', name, name FROM turned JOIN names USING (feed, file_seq, field) WHERE last <> kind"""
+
+_FIELD = r"""("(?:[^"]|"")*"|[^",]*)"""
+_REAL_CLOCK = r"([0-9]|[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]([.][0-9]{1,6})?"
+
+
+def _real_time(c: str) -> str:
+    date = (
+        f"try_cast(CASE WHEN regexp_matches({c}, '^[0-9]{{4}}-') THEN left({c}, 10) "
+        f"ELSE regexp_extract({c}, '^([0-9]+)/([0-9]+)/([0-9]{{4}})', 3) || '-' || regexp_extract({c}, '^([0-9]+)/([0-9]+)/', 2) || '-' || regexp_extract({c}, '^([0-9]+)/', 1) END AS DATE) IS NOT NULL"
+    )
+    form = rf"[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T{_REAL_CLOCK}(Z|[+-](0[0-9]|1[0-3]):?[0-5][0-9]|[+-]14:?00)?|[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}} {_REAL_CLOCK}|[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}} {_REAL_CLOCK}"
+    return f"({c} IN {_NULLS} OR regexp_full_match({c}, '[0-9]{{10}}([.][0-9]{{1,6}})?|[0-9]{{13}}') OR regexp_full_match({c}, '{form}') AND {date})"
+
+
+def _plain_value(name: str) -> str:
+    raw = f"fields[list_position(names, '{name}')]"
+    return f"CASE WHEN {raw}[1] = '\"' THEN replace({raw}[2:-2], '\"\"', '\"') ELSE {raw} END"
+
+
+def _value(name: str) -> str:
+    plain = _plain_value(name)
+    return f"coalesce(trim({plain}, ' ' || chr(9) || chr(10) || chr(13)), '')"
+
+
+_P3 = rf"""WITH texts AS (SELECT line_id, file_name, kind, line_no, regexp_replace(coalesce(record_text, ''), '\r$', '') AS t FROM raw_lines),
+heads AS (SELECT file_name, [trim(x, '" ') FOR x IN regexp_extract_all(',' || min_by(t, line_id), ',{_FIELD}', 1)] AS names FROM texts WHERE line_no = 1 GROUP BY file_name),
+split AS (SELECT line_id, kind, names, regexp_full_match(t, '{_FIELD}(,{_FIELD})*') AS formed, regexp_extract_all(',' || t, ',{_FIELD}', 1) AS fields
+    FROM texts LEFT JOIN heads USING (file_name) WHERE line_no <> 1),
+named AS (SELECT line_id, kind, formed, coalesce(len(fields) = len(names), false) AS fits, {_value('TestDateUTC')} AS v_time, {_value('From')} AS v_from, {_value('To')} AS v_to,
+    {_value('Lane')} AS v_lane, {_value('Ignore')} AS v_ignore FROM split),
+judged AS (SELECT line_id, CASE WHEN NOT formed THEN 'quoting' WHEN NOT fits THEN 'columns'
+    WHEN kind = 'lmd' AND NOT {_real_time('v_time')} OR kind = 'fixes' AND NOT ({_real_time('v_from')} AND {_real_time('v_to')}) THEN 'timestamp'
+    WHEN kind = 'lmd' AND v_lane NOT IN {_NULLS} AND NOT regexp_full_match(v_lane, '[LR]?[1-9][A-Z]?') THEN 'lane'
+    WHEN kind = 'fixes' AND v_ignore NOT IN ('1', 'True', 'true', 'TRUE', 'T', 't', '0', 'False', 'false', 'FALSE', 'F', 'f', '', 'NULL', 'null', 'NA') THEN 'ignore' END AS reason FROM named)"""
+
+P3 = f"{_P3} SELECT line_id, reason FROM judged WHERE reason IS NOT NULL"
+
+LOADED_FIELDS = ("TestDateUTC", "From", "To", "Lane", "Ignore", "Plate", "RoadName")
+_LOADED = ", ".join(f'{_plain_value(c)} AS "{c}"' for c in LOADED_FIELDS)
+P3_LOADED = f"{_P3} SELECT line_id, kind, {_LOADED} FROM split WHERE line_id IN (SELECT line_id FROM judged WHERE reason IS NULL)"
+
+TABLE_FIELDS = ("TestDateUTC", "From", "To", "Lane", "Ignore", "Plate", "RoadName", "RoadID", "Chainage")
+_WIDE = ", ".join(f"any_value(value) FILTER (WHERE field = '{f}') AS \"{f}\"" for f in TABLE_FIELDS)
+
+P4_TABLE = rf"""WITH rows_of AS (SELECT feed_row_id, feed, file_seq, payload, json_valid(payload) AND json_type(payload) = 'OBJECT' AS good FROM feed_rows),
+pairs AS (SELECT feed_row_id, feed, file_seq, payload, unnest(json_keys(payload)) AS name FROM rows_of WHERE good),
+typed AS (SELECT feed_row_id, feed, file_seq, name, lower(regexp_replace(name, '[\s_-]', '', 'g')) AS bare, json_extract_string(payload, '$."' || name || '"') AS value,
+    CASE json_type(payload, '$."' || name || '"') WHEN 'NULL' THEN NULL WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' ELSE 'number' END AS kind FROM pairs),
+field_of AS (SELECT * FROM (VALUES {_FIELDS}) AS f(bare, field)),
+fielded AS (SELECT feed_row_id, feed, file_seq, name, kind, coalesce(field, bare) AS field, CASE kind WHEN 'number' THEN regexp_replace(value, '[.]0+$', '') ELSE value END AS value
+    FROM typed LEFT JOIN field_of USING (bare)),
+names AS (SELECT feed, file_seq, field, min_by(name, (-n, name)) AS name FROM (SELECT feed, file_seq, field, name, count(*) AS n FROM fielded GROUP BY ALL) GROUP BY ALL),
+kinds AS (SELECT feed, file_seq, field, min_by(kind, (-n, kind)) AS kind FROM (SELECT feed, file_seq, field, kind, count(*) AS n FROM fielded WHERE kind IS NOT NULL GROUP BY ALL) GROUP BY ALL),
+prints AS (SELECT feed, file_seq, list((field, name, kind) ORDER BY field) AS print FROM names LEFT JOIN kinds USING (feed, file_seq, field) GROUP BY ALL),
+turns AS (SELECT feed, file_seq, CASE WHEN lag(print) OVER w IS NOT DISTINCT FROM print THEN 0 ELSE 1 END AS turn FROM prints WINDOW w AS (PARTITION BY feed ORDER BY file_seq)),
+versions AS (SELECT feed, file_seq, CAST(sum(turn) OVER (PARTITION BY feed ORDER BY file_seq) AS INTEGER) AS version FROM turns),
+single AS (SELECT feed_row_id, field, min_by(value, name) AS value FROM fielded WHERE kind IS NOT NULL GROUP BY ALL),
+wide AS (SELECT feed_row_id, {_WIDE} FROM single GROUP BY feed_row_id)
+SELECT feed, file_seq, feed_row_id, {", ".join(f'"{f}"' for f in TABLE_FIELDS)}, version FROM rows_of LEFT JOIN wide USING (feed_row_id) LEFT JOIN versions USING (feed, file_seq)"""
