@@ -41,6 +41,11 @@ def plate_key(c: Column) -> Column:
     return F.when(key != "", key)
 
 
+def literal_map(table: dict[str, int]) -> Column:
+    """A map of plain words to whole numbers, as one expression (each literal of a long list would cost a call to the JVM)."""
+    return F.expr("map(" + ", ".join(f"'{k}', {v}" for k, v in table.items()) + ")")
+
+
 def fresh(*hints: str) -> list[str]:
     """Column names that cannot clash with those of a caller's table."""
     tag = uuid.uuid4().hex[:8]

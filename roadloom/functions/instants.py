@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.common import filled, fresh
+from roadloom.common import filled, fresh, literal_map
 
 DAY_US = 86_400_000_000
 
@@ -110,7 +110,7 @@ def read_written_time(value: Column) -> Column:
 def _parts_to_numbers(p: Column) -> Column:
     at = lambda i: F.get(p, F.lit(i))
     kind = at(0)
-    months = F.create_map(*[F.lit(x) for i, names in enumerate(MONTH_NAMES, 1) for name in names for x in (name, i)])
+    months = literal_map({name: i for i, names in enumerate(MONTH_NAMES, 1) for name in names})
     unix = F.when(kind == "M", _int(at(1)) * 1000).when(kind == "S", _int(at(1)) * 1_000_000 + _micros(at(2)))
     return F.when(
         kind.isNotNull(),
@@ -162,7 +162,7 @@ def offset_seconds(zone_mark: Column, zone_name: Column) -> Column:
     digits = F.regexp_replace(zone_mark, "[^0-9]", "")
     hours, minutes = _int(F.substring(digits, 1, 2)), F.coalesce(_int(F.substring(digits, 3, 2)), F.lit(0))
     numeric = F.when((hours <= 18) & (minutes <= 59), sign * (hours * 3600 + minutes * 60))
-    table = F.create_map(*[F.lit(x) for zone, names in ABBREVIATIONS.items() for name, seconds in names.items() for x in (f"{zone} {name}", seconds)])
+    table = literal_map({f"{zone} {name}": seconds for zone, names in ABBREVIATIONS.items() for name, seconds in names.items()})
     named = F.coalesce(F.try_element_at(table, F.concat(F.lit("* "), zone_mark)), F.try_element_at(table, F.concat(zone_name, F.lit(" "), zone_mark)))
     return F.when(zone_mark.rlike("^[+-]"), numeric).otherwise(named).cast("bigint")
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadloom.common import filled, fits_broadcast, fresh, lookup_join
@@ -25,8 +25,11 @@ CLOCK_SLACK_US = 5 * 60 * 1_000_000
 FAR_DAYS = 1000
 
 
-def _valid_zones(spark) -> list[str]:
-    return sorted(spark.sparkContext._jvm.java.time.ZoneId.getAvailableZoneIds())
+def _valid_zone(spark: SparkSession, column: str) -> Column:
+    """The trimmed zone name where the JVM knows such a zone, else null."""
+    jvm = spark.sparkContext._jvm
+    known = jvm.java.lang.String.join("', '", jvm.java.time.ZoneId.getAvailableZoneIds())
+    return F.expr(f"CASE WHEN trim(`{column}`) IN ('{known}') THEN trim(`{column}`) END")
 
 
 def _us(c: Column) -> Column:
@@ -101,10 +104,9 @@ def file_histories(df: DataFrame, columns: list[str], files: DataFrame, file_col
     seen, *times = fresh("seen", *[f"t{i}" for i in range(len(columns))])
     facts = df.select(F.col(file_col), _us(F.col(seen_col)).alias(seen), *[F.col(f"`{c}`") for c in columns])
     order = F.upper(F.trim(F.col("date_order")))
-    zone = F.trim(F.col("zone_name"))
     known = files.where(F.col(file_col).isNotNull()).select(
         file_col,
-        F.when(zone.isin(_valid_zones(spark)), zone).alias("__zone"),
+        _valid_zone(spark, "zone_name").alias("__zone"),
         F.when(order == "DMY", True).when(order == "MDY", False).alias("__day_first"),
         _us(F.col("exported_at")).alias("__exported"),
     ).dropDuplicates([file_col])
