@@ -84,6 +84,8 @@ class ItemIndex:
     def __init__(self, items: tuple[tuple[int, str], ...]):
         self.ids = [item for item, _ in items]
         self.words = [plain_words(passage) for _, passage in items]
+        self.sets = [frozenset(ws) for ws in self.words]
+        self.least = [least_shared(ws) for ws in self.words]
         vocabulary = sorted({w for ws in self.words for w in ws})
         self.vocabulary = {w: i for i, w in enumerate(vocabulary)}
         self.signs = _word_bits(vocabulary)
@@ -158,6 +160,13 @@ class ItemIndex:
         return found
 
 
+def least_shared(passage: list[str]) -> int:
+    """Different words that any document holding a stretch of the passage must share with it: those of the poorest stretch,
+    less the ones that may be missing."""
+    stretches = (passage[s : s + STRETCH] for s in range(len(passage) - STRETCH + 1))
+    return min((len(set(x)) for x in stretches), default=STRETCH) - (STRETCH - NEEDED)
+
+
 @lru_cache(maxsize=2)
 def _index(items: tuple[tuple[int, str], ...]) -> ItemIndex:
     """Built once in each Python worker, which serves many tasks."""
@@ -222,14 +231,15 @@ def leaked_items(documents: DataFrame, items: DataFrame, id_col: str = "doc_id",
                 texts = [plain_words(t) for t in batch["t"]]
                 ids = batch["d"].to_numpy()
                 found: list[tuple[int, int]] = []
-                last, places = -1, {}
+                last, places, held = -1, {}, set()
                 for d, number in sorted(index.candidates(texts)):
                     if d != last:
                         last, places = d, defaultdict(list)
                         for k, w in enumerate(texts[d]):
                             if w in index.vocabulary:
                                 places[w].append(k)
-                    if holds_stretch(texts[d], places, index.words[number]):
+                        held = set(places)
+                    if len(index.sets[number] & held) >= index.least[number] and holds_stretch(texts[d], places, index.words[number]):
                         found.append((index.ids[number], int(ids[d])))
                 yield pd.DataFrame(found, columns=[item_col, id_col], dtype="int64")
 
