@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.session import cut_lineage
+from roadloom.session import cut_lineage, map_batches
 
 _LOWEST = np.iinfo(np.int64).min
 
@@ -96,7 +96,7 @@ def continuous_periods(df: DataFrame, key: str, start: str, end: str, partitions
     rows = rows.where("key is not null and s <= e").groupBy("key", "s").agg(F.max("e").alias("e"))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = cut_lineage(rows.repartitionByRange(n, "key", "s").sortWithinPartitions("key", "s"))
-    carried = combine_summaries([tuple(r) for r in ordered.mapInPandas(_summarise, _SUMMARY).collect()])
+    carried = combine_summaries([tuple(r) for r in map_batches(ordered, _summarise, _SUMMARY).collect()])
 
     def rescan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         walk = _Walk(*carried.get(TaskContext.get().partitionId(), ()))
@@ -110,6 +110,6 @@ def continuous_periods(df: DataFrame, key: str, start: str, end: str, partitions
             pieces = pd.DataFrame({"key": keys, "kind": "period", "start_us": begun, "end_us": ends})
             yield pieces.groupby(["key", "kind", "start_us"], as_index=False, sort=False)["end_us"].max()
 
-    pieces = ordered.mapInPandas(rescan, _PIECE)
+    pieces = map_batches(ordered, rescan, _PIECE)
     out = pieces.groupBy("key", "kind", "start_us").agg(F.max("end_us").alias("end_us"))
     return out.select(F.col("key").alias(key), "kind", "start_us", "end_us")

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from roadloom.common import NULL_TOKENS, lookup_join
 from roadloom.schema import field_keys, loose
+from roadloom.session import map_batches
 
 #: Blocks of at most this many records are diagnosed strictly at once instead of being halved further.
 STRICT_BLOCK = 4
@@ -218,7 +219,7 @@ def parse_records(df: DataFrame) -> DataFrame:
             yield pd.DataFrame({"line_id": batch["line_id"], "file_name": batch["file_name"], "kind": batch["kind"], "line_no": batch["line_no"], **out})
 
     schema = "line_id bigint, file_name string, kind string, line_no int, reason string, names array<string>, fields array<string>"
-    return joined.mapInPandas(run, schema)
+    return map_batches(joined, run, schema)
 
 
 def loaded_records(parsed: DataFrame, kind: str, columns: list[str]) -> DataFrame:

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +45,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder once and go on from there; survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python this package, once for each application, wherever they run and whatever their paths hold."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        root = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="roadloom-package-")) / "roadloom.zip"  # read by this driver, served by Spark
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+            for path in sorted(root.rglob("*.py")):
+                out.write(path, str(path.relative_to(root.parent)))
+        sc.addPyFile(str(target))
+        _shipped.add(sc.applicationId)
+
+
+def map_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``mapInPandas`` with this package present on the executors."""
+    ship_package(df.sparkSession)
+    return df.mapInPandas(run, schema)
