@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.common import bounded_shard, filled, lookup_join
+from roadloom.session import map_batches
 
 #: Entries in one broadcast tree at most.
 SHARD_ENTRIES = 50_000
@@ -225,7 +226,7 @@ def match_names(names: DataFrame, reference: DataFrame, name_col: str, id_col: s
                     "slips": pd.array([b[0] if b else None for b in best], "Int32"),
                 })
 
-        passes.append(typed.mapInPandas(run, schema))
+        passes.append(map_batches(typed, run, schema))
     won = reduce(DataFrame.unionByName, passes)
     if shards > 1:
         rank = F.struct(F.coalesce("slips", F.lit(99)), "found_id")

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.common import bounded_shard
+from roadloom.session import map_batches
 
 WINDOW, RADIUS, BITS = 4, 3, 64
 STRETCH, NEEDED, SPAN = 20, 17, 32
@@ -243,5 +244,5 @@ def leaked_items(documents: DataFrame, items: DataFrame, id_col: str = "doc_id",
                         found.append((index.ids[number], int(ids[d])))
                 yield pd.DataFrame(found, columns=[item_col, id_col], dtype="int64")
 
-        passes.append(docs.mapInPandas(run, f"`{item_col}` bigint, `{id_col}` bigint"))
+        passes.append(map_batches(docs, run, f"`{item_col}` bigint, `{id_col}` bigint"))
     return reduce(DataFrame.unionByName, passes).distinct()

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from roadloom.session import cut_lineage
+from roadloom.session import cut_lineage, map_batches
 
 #: A public tokenizer's file; a parameter of every function that counts tokens.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -48,7 +48,7 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER, id_col: str =
             yield pd.DataFrame({"doc_id": batch["d"], "source": batch["s"], "tokens": counts})
 
     rows = documents.select(F.col(id_col).cast("bigint").alias("d"), F.col(source_col).alias("s"), F.col(text_col).alias("t")).where("d is not null")
-    return rows.mapInPandas(run, "doc_id bigint, source string, tokens bigint")
+    return map_batches(rows, run, "doc_id bigint, source string, tokens bigint")
 
 
 def quotas(available: dict[str, int], targets: dict[str, tuple[float, int]], budget: int) -> dict[str, float]:

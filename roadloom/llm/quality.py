@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadloom.session import map_batches
+
 STATES = ("prose", "list", "table", "junk")
 SIGNS = ("sentence", "short", "mark", "cells", "noise")
 
@@ -239,7 +241,7 @@ def quality_statistics(documents: DataFrame, id_col: str = "doc_id", text_col: s
             yield out
 
     chosen = documents.select(F.col(id_col).alias("d"), F.col(text_col).alias("t"))
-    return chosen.mapInPandas(run, f"`{id_col}` {kind}, {_STATS}")
+    return map_batches(chosen, run, f"`{id_col}` {kind}, {_STATS}")
 
 
 def not_prose(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
