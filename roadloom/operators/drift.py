@@ -13,10 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from roadloom.schema import field_keys
+from roadloom.schema import ALIASES, field_keys, loose
 
 _FILE = ["feed", "file_seq"]
 
+#: Fields with a column of their own in ``whole_table``; every other field of a row stands in its map.
+WIDE_FIELDS = (*ALIASES, "BinViewerVersion", "tsdSlope2000", "compositeModulus200")
+
 
 def field_of(name: Column) -> Column:
     """The field that a name stands for: that of an alias without case, blanks, ``_`` and ``-``, else the bare name itself."""
@@ -113,3 +116,30 @@ def unified_table(df: DataFrame, fields: list[str], id_col: str = "feed_row_id")
     wide = unified_values(df, id_col).groupBy(id_col, *_FILE).pivot("field", fields).agg(F.first("value"))
     every = df.where("feed is not null and file_seq is not null").select(id_col, *_FILE)
     return every.join(wide, [id_col, *_FILE], "left").join(version_fingerprints(df).drop("fingerprint"), _FILE, "left")
+
+
+def _field_key(field: str) -> str:
+    """The name that ``field_of`` gives to a field."""
+    return field_keys().get(loose(field), loose(field))
+
+
+def whole_table(df: DataFrame, id_col: str = "feed_row_id", fields: tuple[str, ...] = WIDE_FIELDS) -> DataFrame:
+    """Every row with all its values: ``id_col``, feed, file_seq, version, a column per field of ``fields``, and ``others``.
+
+    ``others`` maps each further field to its text, in order of the fields (empty where there is none), so a field that a
+    feed adds later is kept without being known here. ``id_col`` is unique. Rows without feed or number of file are kept
+    without a version, payloads that are no JSON object without values. Nested values are kept as their JSON.
+    """
+    rows = df.select(id_col, *_FILE, "payload")
+    pairs = json_pairs(rows.select(id_col, "payload")).where("kind is not null").withColumn("field", field_of(F.col("name")))
+    text = F.when(F.col("kind") == "number", F.regexp_replace("value", r"\.0+$", "")).otherwise(F.col("value"))
+    values = pairs.withColumn("value", text).groupBy(id_col, "field").agg(F.min_by("value", "name").alias("value"))
+    keys = {f: _field_key(f) for f in fields}
+    known = F.col("field").isin(*keys.values())
+    wide = values.groupBy(id_col).agg(
+        *[F.max(F.when(F.col("field") == key, F.col("value"))).alias(f) for f, key in keys.items()],
+        F.map_from_entries(F.sort_array(F.collect_list(F.when(~known, F.struct("field", "value"))))).alias("others"),
+    )
+    out = rows.drop("payload").join(wide, id_col, "left").join(version_fingerprints(df).drop("fingerprint"), _FILE, "left")
+    others = F.coalesce("others", F.create_map().cast("map<string,string>"))
+    return out.select(*_FILE, id_col, "version", *fields, others.alias("others"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from roadloom.common import plate_key, table
 from roadloom.operators.clocks import instants_text, with_instants
 from roadloom.operators.coverage import continuous_periods
-from roadloom.operators.drift import schema_changes, unified_table
+from roadloom.operators.drift import schema_changes, unified_table, whole_table
 from roadloom.operators.rejects import parse_records, rejected_records
 from roadloom.plans import survey_sql
 
@@ -60,11 +60,17 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rows of all feeds under one set of columns, whatever their files call them."""
+    """All rows of all feeds under nine known columns as text, as written and without the other fields: see ``p4_whole``."""
     return unified_table(table(spark, sf_dir, "feed_rows"), list(survey_sql.TABLE_FIELDS))
 
 
+def p4_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of all feeds with all their fields, whatever their files call them."""
+    return whole_table(table(spark, sf_dir, "feed_rows"))
+
+
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_loaded": p3_loaded, "p4_found": p4_found, "p4_table": p4_table}
+QUERIES |= {"p4_whole": p4_whole}
 SQL: dict[str, str] = {
     "p1_found": survey_sql.P1, "p2_found": survey_sql.P2, "p3_found": survey_sql.P3, "p3_loaded": survey_sql.P3_LOADED, "p4_found": survey_sql.P4, "p4_table": survey_sql.P4_TABLE,
 }
