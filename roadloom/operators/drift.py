@@ -3,8 +3,9 @@
 Each file gets a fingerprint: which field stands there under which name and with which JSON type. Fingerprints come from
 one map-side combined aggregation over (feed, file, name), so rows are never gathered by feed; all further steps work on
 these summaries. Successive fingerprints of a feed differ by explicit steps - add, remove, rename, retype - and a run of
-equal fingerprints is one version. A row is read by the names of its own file's version, renamed to the field, missing
-fields default to null, and values are cast to the one type that holds the field's values in all versions of all feeds.
+equal fingerprints is one version. ``whole_table`` reads a row by the steps of its own file's version, which are a table
+(``reading_steps``): rename to the field, default where the version lacks it, cast and factor of the unit. ``unified_table``
+only brings fields under one name: its values are texts as written, chainages in the unit of their file.
 """
 
 from __future__ import annotations
@@ -13,12 +14,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from roadloom.schema import ALIASES, field_keys, loose
+from roadloom.common import NULL_TOKENS
+from roadloom.functions.scalars import parse_boolean
+from roadloom.schema import ALIASES, KILOMETRE_NAMES, field_keys, loose
 
 _FILE = ["feed", "file_seq"]
 
 #: Fields with a column of their own in ``whole_table``; every other field of a row stands in its map.
 WIDE_FIELDS = (*ALIASES, "BinViewerVersion", "tsdSlope2000", "compositeModulus200")
+#: How fields are cast; all others stay text. Times do too: feeds name no zone and no order of day and month.
+CASTS = {"Chainage": "metres", "StartChainage": "number", "EndChainage": "number", "Ignore": "flag", "tsdSlope2000": "number", "compositeModulus200": "number"}
+_NUMBER = r"^([+-]?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:[.][0-9]+)?(?:[eE][+-]?[0-9]{1,3})?) ?([kK]?[mM])?$"
 
 
 def field_of(name: Column) -> Column:
@@ -123,23 +129,91 @@ def _field_key(field: str) -> str:
     return field_keys().get(loose(field), loose(field))
 
 
-def whole_table(df: DataFrame, id_col: str = "feed_row_id", fields: tuple[str, ...] = WIDE_FIELDS) -> DataFrame:
-    """Every row with all its values: ``id_col``, feed, file_seq, version, a column per field of ``fields``, and ``others``.
+def reading_steps(df: DataFrame, casts: dict[str, str] = CASTS, defaults: dict[str, str] | None = None) -> DataFrame:
+    """(feed, version, field, old_name, new_name, default, cast, exponent): how each version of each feed is read.
 
+    One row per name that stands in a file of the version: it is renamed to ``new_name``, cast, and multiplied by ten to
+    the ``exponent`` (3 for chainages under a name in kilometres, else 0). One row without ``old_name`` per field of
+    ``defaults`` that no file of the version has. Steps lead from a version straight to the one common schema: through the
+    versions between, renames and factors would cancel out, and a field removed later would be lost on the way.
+    Rows without feed or number of file are read by steps without a version.
+    """
+    versions = version_fingerprints(df).drop("fingerprint")
+    names = json_pairs(df.select(*_FILE, "payload")).select(*_FILE, "name").distinct().join(versions, _FILE, "left")
+    names = names.select("feed", "version", "name").distinct().withColumn("field", field_of(F.col("name")))
+    shown = {_field_key(f): f for f in WIDE_FIELDS}
+    label = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in shown.items() for x in p]), "field"), F.col("field"))
+    cast = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in casts.items() for x in p]), "field"), F.lit("text"))
+    bare = F.lower(F.regexp_replace("name", r"[\s_-]", ""))
+    far = (F.col("field") == "Chainage") & bare.isin(*{loose(n) for n in KILOMETRE_NAMES})
+    steps = names.withColumn("field", label).select(
+        "feed", "version", "field", F.col("name").alias("old_name"), F.col("field").alias("new_name"), F.lit(None).cast("string").alias("default"),
+        cast.alias("cast"), F.when(far, 3).otherwise(0).alias("exponent"),
+    )
+    for field, default in (defaults or {}).items():
+        has = steps.where(F.col("old_name").isNotNull()).groupBy("feed", "version").agg(F.max(F.col("field") == field).alias("__has"))
+        every = df.select(*_FILE).distinct().join(versions, _FILE, "left").select("feed", "version").distinct()
+        same = every["feed"].eqNullSafe(has["feed"]) & every["version"].eqNullSafe(has["version"])
+        lacking = every.join(has, same, "left").where(~F.coalesce("__has", F.lit(False))).select(every["feed"], every["version"])
+        added = lacking.select(
+            "feed", "version", F.lit(field).alias("field"), F.lit(None).cast("string").alias("old_name"), F.lit(field).alias("new_name"),
+            F.lit(default).alias("default"), F.lit(casts.get(field, "text")).alias("cast"), F.lit(0).alias("exponent"),
+        )
+        steps = steps.unionByName(added)
+    return steps
+
+
+def _scaled(number: Column, exponent: Column) -> Column:
+    """``number`` times ten to the ``exponent``, rounded once: the exponent is written behind the digits."""
+    plain = F.concat(number, F.lit("e"), exponent.cast("string")).try_cast("double")
+    return F.when(number.rlike("[eE]"), number.try_cast("double") * F.pow(F.lit(10.0), exponent)).otherwise(plain)
+
+
+def _cast_number(text: Column, cast: Column, exponent: Column) -> Column:
+    """Double of a text; metres may be written with their unit, which goes before that of the name."""
+    digits = F.regexp_replace(F.regexp_extract(text, _NUMBER, 1), ",", "")
+    unit = F.lower(F.regexp_extract(text, _NUMBER, 2))
+    power = F.when(unit == "km", 3).when(unit == "m", 0).otherwise(exponent)
+    return F.when(text.rlike(_NUMBER) & ((unit == "") | (cast == "metres")), _scaled(digits, power))
+
+
+def whole_table(
+    df: DataFrame, id_col: str = "feed_row_id", fields: tuple[str, ...] = WIDE_FIELDS, casts: dict[str, str] = CASTS, defaults: dict[str, str] | None = None
+) -> DataFrame:
+    """Every row with all its values: ``id_col``, feed, file_seq, version, a column per field of ``fields``, ``others``, ``unread``.
+
+    A row is read by ``reading_steps`` of its own version: names become fields, fields that the version lacks get their
+    default, values are cast by ``casts`` (``metres`` and ``number`` to double, ``flag`` to boolean, else text). What a cast
+    cannot read is null in its column and stands as text in ``unread`` (field to text); null tokens of cast fields are null.
     ``others`` maps each further field to its text, in order of the fields (empty where there is none), so a field that a
     feed adds later is kept without being known here. ``id_col`` is unique. Rows without feed or number of file are kept
-    without a version, payloads that are no JSON object without values. Nested values are kept as their JSON.
+    without a version, payloads that are no JSON object without values (but defaults). Nested values are kept as their JSON.
+    A row that holds one field under two names keeps the non-null value of the first name by alphabet.
     """
-    rows = df.select(id_col, *_FILE, "payload")
-    pairs = json_pairs(rows.select(id_col, "payload")).where("kind is not null").withColumn("field", field_of(F.col("name")))
+    rows = df.select(id_col, *_FILE, "payload").join(version_fingerprints(df).drop("fingerprint"), _FILE, "left")
+    steps = reading_steps(df, casts, defaults).select(F.col("feed").alias("__feed"), F.col("version").alias("__version"), "old_name", "new_name", "default", "cast", "exponent")
+    own = F.col("feed").eqNullSafe(F.col("__feed")) & F.col("version").eqNullSafe(F.col("__version"))
+    pairs = json_pairs(rows.select(id_col, "feed", "version", "payload")).where("kind is not null")
     text = F.when(F.col("kind") == "number", F.regexp_replace("value", r"\.0+$", "")).otherwise(F.col("value"))
-    values = pairs.withColumn("value", text).groupBy(id_col, "field").agg(F.min_by("value", "name").alias("value"))
-    keys = {f: _field_key(f) for f in fields}
-    known = F.col("field").isin(*keys.values())
+    read = pairs.withColumn("value", text).join(steps.where("old_name is not null"), own & (F.col("name") == F.col("old_name")))
+    read = read.select(id_col, "name", "new_name", "value", "cast", "exponent")
+    if defaults:
+        lacking = rows.select(id_col, "feed", "version").join(steps.where("old_name is null"), own)
+        read = read.unionByName(lacking.select(id_col, F.lit("").alias("name"), "new_name", F.col("default").alias("value"), "cast", "exponent"))
+    values = read.groupBy(id_col, "new_name").agg(F.min_by(F.struct("value", "cast", "exponent"), "name").alias("v"))
+    values = values.select(id_col, F.col("new_name").alias("field"), "v.*")
+    clean = F.btrim("value", F.lit(" \t\n\r"))
+    none = clean.isin(*NULL_TOKENS)
+    number = F.when(F.col("cast").isin("metres", "number") & ~none, _cast_number(clean, F.col("cast"), F.col("exponent")))
+    flag = F.when(F.col("cast") == "flag", parse_boolean(F.col("value")))
+    values = values.withColumns({"number": number, "flag": flag, "lost": (F.col("cast") != "text") & ~none & number.isNull() & flag.isNull()})
+    kind = {f: {"metres": "number", "number": "number", "flag": "flag"}.get(casts.get(f, "text"), "value") for f in fields}
+    known = F.col("field").isin(*fields)
+    texts = lambda which: F.map_from_entries(F.sort_array(F.collect_list(F.when(which, F.struct("field", "value")))))
     wide = values.groupBy(id_col).agg(
-        *[F.max(F.when(F.col("field") == key, F.col("value"))).alias(f) for f, key in keys.items()],
-        F.map_from_entries(F.sort_array(F.collect_list(F.when(~known, F.struct("field", "value"))))).alias("others"),
-    )
-    out = rows.drop("payload").join(wide, id_col, "left").join(version_fingerprints(df).drop("fingerprint"), _FILE, "left")
-    others = F.coalesce("others", F.create_map().cast("map<string,string>"))
-    return out.select(*_FILE, id_col, "version", *fields, others.alias("others"))
+        *[F.max(F.when(F.col("field") == f, F.col(kind[f]))).alias(f) for f in fields],
+        texts(~known).alias("others"), texts(known & F.col("lost")).alias("unread"),
+    )
+    empty = F.create_map().cast("map<string,string>")
+    out = rows.drop("payload").join(wide, id_col, "left")
+    return out.select(*_FILE, id_col, "version", *fields, *[F.coalesce(c, empty).alias(c) for c in ("others", "unread")])

@@ -65,7 +65,7 @@ def p4_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rows of all feeds with all their fields, whatever their files call them."""
+    """All rows of all feeds with all their fields, whatever their files call them, typed and with chainages in metres."""
     return whole_table(table(spark, sf_dir, "feed_rows"))
 
 
@@ -74,3 +74,4 @@ QUERIES |= {"p4_whole": p4_whole}
 SQL: dict[str, str] = {
     "p1_found": survey_sql.P1, "p2_found": survey_sql.P2, "p3_found": survey_sql.P3, "p3_loaded": survey_sql.P3_LOADED, "p4_found": survey_sql.P4, "p4_table": survey_sql.P4_TABLE,
 }
+SQL |= {"p4_whole": survey_sql.P4_WHOLE}

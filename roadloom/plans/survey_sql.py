@@ -165,3 +165,31 @@ versions AS (SELECT feed, file_seq, CAST(sum(turn) OVER (PARTITION BY feed ORDER
 single AS (SELECT feed_row_id, field, min_by(value, name) AS value FROM fielded WHERE kind IS NOT NULL GROUP BY ALL),
 wide AS (SELECT feed_row_id, {_WIDE} FROM single GROUP BY feed_row_id)
 SELECT feed, file_seq, feed_row_id, {", ".join(f'"{f}"' for f in TABLE_FIELDS)}, version FROM rows_of LEFT JOIN wide USING (feed_row_id) LEFT JOIN versions USING (feed, file_seq)"""
+
+# Beside the table of nine names: all fields of all rows, typed, chainages in metres.
+_TEXTS = ("RoadName", "RoadID", "Lane", "TestDateUTC", "From", "To", "Plate", "RegionID", "Travel", "BinViewerVersion")
+_NUMBERS = ("Chainage", "StartChainage", "EndChainage", "tsdSlope2000", "compositeModulus200")
+_KNOWN = ", ".join(f"'{f}'" for f in (*_TEXTS, *_NUMBERS, "Ignore"))
+_MARKERS = ", ".join(f"('{f.lower()}', '{f}')" for f in ("BinViewerVersion", "tsdSlope2000", "compositeModulus200"))
+_DIGITS = r"[+-]?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:[.][0-9]+)?(?:[eE][+-]?[0-9]{1,3})?"
+_BY_FIELD = ", ".join([f"any_value(value) FILTER (WHERE field = '{f}') AS \"{f}\"" for f in _TEXTS] + [f"any_value(number) FILTER (WHERE field = '{f}') AS \"{f}\"" for f in _NUMBERS])
+_TEXT_MAP = "coalesce(map_from_entries(list((field, value) ORDER BY field) FILTER (WHERE {})), map_from_entries([]::STRUCT(k VARCHAR, v VARCHAR)[]))"
+
+P4_WHOLE = rf"""{P4_TABLE[: P4_TABLE.index("single AS")]}
+marker_of AS (SELECT * FROM (VALUES {_MARKERS}) AS m(field, marker)),
+firsts AS (SELECT feed_row_id, coalesce(marker, field) AS field, min_by(value, name) AS value, min(name) IN ('location', 'Location') AS far
+    FROM fielded LEFT JOIN marker_of USING (field) WHERE kind IS NOT NULL GROUP BY ALL),
+cleaned AS (SELECT *, trim(value, ' ' || chr(9) || chr(10) || chr(13)) AS v FROM firsts),
+measured AS (SELECT *, v IN {_NULLS} AS none, replace(regexp_extract(v, '^({_DIGITS}) ?([kK]?[mM])?$', 1), ',', '') AS digits,
+    lower(regexp_extract(v, '^({_DIGITS}) ?([kK]?[mM])?$', 2)) AS unit FROM cleaned),
+numbered AS (SELECT *, CASE WHEN field NOT IN ('Chainage', 'StartChainage', 'EndChainage', 'tsdSlope2000', 'compositeModulus200') OR digits = '' OR unit <> '' AND field <> 'Chainage' THEN NULL
+    WHEN field = 'Chainage' AND (unit = 'km' OR unit = '' AND far) THEN CASE WHEN digits LIKE '%e%' OR digits LIKE '%E%' THEN try_cast(digits AS DOUBLE) * 1000 ELSE try_cast(digits || 'e3' AS DOUBLE) END
+    ELSE try_cast(digits AS DOUBLE) END AS number,
+    CASE WHEN field = 'Ignore' AND v IN ('1', 'True', 'true', 'TRUE', 'T', 't') THEN true WHEN field = 'Ignore' AND v IN ('0', 'False', 'false', 'FALSE', 'F', 'f', '') THEN false END AS flag FROM measured),
+wide AS (SELECT feed_row_id, {_BY_FIELD}, bool_or(flag) FILTER (WHERE field = 'Ignore') AS "Ignore",
+    {_TEXT_MAP.format(f"field NOT IN ({_KNOWN})")} AS others,
+    {_TEXT_MAP.format("field IN ('Ignore', 'Chainage', 'StartChainage', 'EndChainage', 'tsdSlope2000', 'compositeModulus200') AND NOT none AND number IS NULL AND flag IS NULL")} AS unread
+    FROM numbered GROUP BY feed_row_id)
+SELECT feed, file_seq, feed_row_id, version, {", ".join(f'"{f}"' for f in (*_TEXTS, *_NUMBERS, "Ignore"))},
+    coalesce(others, map_from_entries([]::STRUCT(k VARCHAR, v VARCHAR)[])) AS others, coalesce(unread, map_from_entries([]::STRUCT(k VARCHAR, v VARCHAR)[])) AS unread
+FROM rows_of LEFT JOIN wide USING (feed_row_id) LEFT JOIN versions USING (feed, file_seq)"""
