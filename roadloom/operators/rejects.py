@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.common import NULL_TOKENS, lookup_join
+from roadloom.operators.drift import WIDE_FIELDS, field_of
 from roadloom.schema import field_keys, loose
 from roadloom.session import map_batches
 
@@ -229,5 +230,27 @@ def loaded_records(parsed: DataFrame, kind: str, columns: list[str]) -> DataFram
     return rows.select("line_id", "file_name", "line_no", *[F.when(~F.trim(at(c)).isin(*NULL_TOKENS), F.trim(at(c))).alias(c) for c in columns])
 
 
+def whole_records(parsed: DataFrame, fields: tuple[str, ...] = WIDE_FIELDS) -> DataFrame:
+    """The valid records of all kinds with every column of their file: line_id, file_name, kind, line_no, ``fields``, ``others``.
+
+    A field stands in the column named so, else in the first one under an alias of it (as in the checks: without case,
+    blanks, ``_`` and ``-``); it is null where the file has none. ``others`` maps the names of all further columns to their
+    texts, a second column of one field among them; a repeated name gets its number behind it (``Note (2)``). Texts are as
+    written, blanks and null tokens too.
+    """
+    rows = parsed.where("reason is null")
+    keys = F.transform("names", field_of)
+    rows = rows.select("line_id", "file_name", "kind", "line_no", "names", "fields", keys.alias("__keys"))
+    place = F.array(*[F.coalesce(F.nullif(F.array_position("names", f), F.lit(0)), F.array_position("__keys", field_keys().get(loose(f), loose(f)))) for f in fields])
+    rows = rows.withColumn("__places", place)
+    before = lambda n, i: F.size(F.filter(F.slice(F.col("names"), F.lit(1), i), lambda x: x == n))
+    label = lambda n, i: F.when(before(n, i) == 0, n).otherwise(F.concat(n, F.lit(" ("), (before(n, i) + 1).cast("string"), F.lit(")")))
+    entries = F.transform("names", lambda n, i: F.struct(label(n, i).alias("name"), F.get("fields", i).alias("text"), (i + 1).cast("bigint").alias("place")))
+    rest = F.filter(entries, lambda e: ~F.array_contains("__places", e["place"]))
+    others = F.map_from_entries(F.array_sort(F.transform(rest, lambda e: F.struct(e["name"].alias("name"), e["text"].alias("text")))))
+    at = lambda k: F.get("fields", (F.get("__places", F.lit(k)) - 1).cast("int"))
+    return rows.select("line_id", "file_name", "kind", "line_no", *[at(k).alias(f) for k, f in enumerate(fields)], others.alias("others"))
+
+
 def rejected_records(parsed: DataFrame) -> DataFrame:
     return parsed.where("reason is not null").select("line_id", "reason")

@@ -9,7 +9,7 @@ from roadloom.common import plate_key, table
 from roadloom.operators.clocks import instants_text, with_instants
 from roadloom.operators.coverage import continuous_periods
 from roadloom.operators.drift import schema_changes, unified_table, whole_table
-from roadloom.operators.rejects import parse_records, rejected_records
+from roadloom.operators.rejects import parse_records, rejected_records, whole_records
 from roadloom.plans import survey_sql
 
 
@@ -49,12 +49,17 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The valid records of both kinds, as they load."""
+    """Seven columns, found by exact name, of the valid records of both kinds, as they load: all columns are in ``p3_whole``."""
     parsed = parse_records(table(spark, sf_dir, "raw_lines"))
     at = lambda c: F.get("fields", (F.array_position("names", F.lit(c)) - 1).cast("int"))
     return parsed.where("reason is null").select("line_id", "kind", *[at(c).alias(c) for c in survey_sql.LOADED_FIELDS])
 
 
+def p3_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The valid records of both kinds with all columns of their files, as they load."""
+    return whole_records(parse_records(table(spark, sf_dir, "raw_lines"))).drop("file_name", "line_no")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_changes(table(spark, sf_dir, "feed_rows"))
 
@@ -70,8 +75,8 @@ def p4_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_loaded": p3_loaded, "p4_found": p4_found, "p4_table": p4_table}
-QUERIES |= {"p4_whole": p4_whole}
+QUERIES |= {"p3_whole": p3_whole, "p4_whole": p4_whole}
 SQL: dict[str, str] = {
     "p1_found": survey_sql.P1, "p2_found": survey_sql.P2, "p3_found": survey_sql.P3, "p3_loaded": survey_sql.P3_LOADED, "p4_found": survey_sql.P4, "p4_table": survey_sql.P4_TABLE,
 }
-SQL |= {"p4_whole": survey_sql.P4_WHOLE}
+SQL |= {"p3_whole": survey_sql.P3_WHOLE, "p4_whole": survey_sql.P4_WHOLE}

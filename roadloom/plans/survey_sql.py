@@ -193,3 +193,15 @@ wide AS (SELECT feed_row_id, {_BY_FIELD}, bool_or(flag) FILTER (WHERE field = 'I
 SELECT feed, file_seq, feed_row_id, version, {", ".join(f'"{f}"' for f in (*_TEXTS, *_NUMBERS, "Ignore"))},
     coalesce(others, map_from_entries([]::STRUCT(k VARCHAR, v VARCHAR)[])) AS others, coalesce(unread, map_from_entries([]::STRUCT(k VARCHAR, v VARCHAR)[])) AS unread
 FROM rows_of LEFT JOIN wide USING (feed_row_id) LEFT JOIN versions USING (feed, file_seq)"""
+
+# Beside the seven columns of the loaded records: all of them, by cells.
+_FOUND = ", ".join(f"any_value(text) FILTER (WHERE field = '{f}' AND turn = 1) AS \"{f}\"" for f in (*_TEXTS, *_NUMBERS, "Ignore"))
+P3_WHOLE = rf"""{_P3},
+cells AS (SELECT line_id, kind, unnest(names) AS name, unnest(fields) AS raw, generate_subscripts(names, 1) AS i FROM split WHERE line_id IN (SELECT line_id FROM judged WHERE reason IS NULL)),
+field_of AS (SELECT * FROM (VALUES {_FIELDS}, {_MARKERS}) AS f(bare, field)),
+told AS (SELECT line_id, kind, name, i, field, CASE WHEN raw[1] = '"' THEN replace(raw[2:-2], '""', '"') ELSE raw END AS text,
+    row_number() OVER (PARTITION BY line_id, name ORDER BY i) AS repeat, row_number() OVER (PARTITION BY line_id, field ORDER BY name <> field, i) AS turn
+    FROM (SELECT *, lower(regexp_replace(name, '[\s_-]', '', 'g')) AS bare FROM cells) AS c LEFT JOIN field_of USING (bare)),
+labelled AS (SELECT *, CASE WHEN repeat = 1 THEN name ELSE name || ' (' || repeat || ')' END AS label FROM told)
+SELECT line_id, kind, {_FOUND}, coalesce(map_from_entries(list((label, text) ORDER BY label) FILTER (WHERE field IS NULL OR turn > 1)), map_from_entries([]::STRUCT(k VARCHAR, v VARCHAR)[])) AS others
+FROM labelled GROUP BY line_id, kind"""
