@@ -54,6 +54,12 @@ def number(c: Column, strict: bool = False) -> Column:
     return c.cast("double") if strict else c.try_cast("double")
 
 
+def plain_number(c: Column) -> Column:
+    """Double of a text in digits, outer blanks aside, with point and exponent if any; null for all others (``1d``, ``NaN``, ``1,000``, ``5 m``)."""
+    text = F.btrim(c, F.lit(" \t\n\r"))
+    return F.when(text.rlike(r"\A[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?\z"), text.try_cast("double"))
+
+
 def round_to_10m(kilometres: Column) -> Column:
     """Metres of a chainage in kilometres, to the nearest ten; ties go to the even ten."""
     return F.bround(kilometres * 1000 / 10, 0) * 10
