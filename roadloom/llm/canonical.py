@@ -26,8 +26,6 @@ from roadloom.session import map_batches
 
 #: Entries in one broadcast tree at most.
 SHARD_ENTRIES = 50_000
-#: Radius of the tree search; two slips that exchange neighbours are at Levenshtein distance 4.
-RADIUS = 4
 
 #: Short forms of the words in road names.
 SHORT_FORMS = {
@@ -181,6 +179,11 @@ def slips_allowed(length: int) -> int:
     return 3 if length >= 15 else 2 if length >= 9 else 1
 
 
+def radius(length: int) -> int:
+    """Radius of the tree search that misses no form within the slips allowed: an exchange of neighbours is at Levenshtein distance 2."""
+    return 2 * slips_allowed(length)
+
+
 class Matcher:
     """One shard of the reference list: the best entry for a typed form."""
 
@@ -198,7 +201,7 @@ class Matcher:
         if key in self.ids:
             return 0, self.ids[key]
         number = re.findall(r"\d+", form)
-        hits = [e for e, _ in self.tree.within(key, RADIUS) if re.findall(r"\d+", e) == number]
+        hits = [e for e, _ in self.tree.within(key, radius(len(key))) if re.findall(r"\d+", e) == number]
         ranked = sorted((slips(key, e), self.ids[e]) for e in hits)
         return ranked[0] if ranked and ranked[0][0] <= slips_allowed(len(key)) else None
 
