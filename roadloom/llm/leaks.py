@@ -9,6 +9,10 @@
 4. A pair (document, item) that met is verified exactly: some stretch of ``STRETCH`` words of the passage whose words are
    present with a weight of ``NEEDED`` at least, and of which ``NEEDED`` stand in the document in order within ``SPAN`` words.
 
+5. Pairs that the windows do not bring are found by counting (``ItemIndex.sharing``): a document that holds a stretch has
+   ``least_shared`` different words of the passage and, within ``SPAN`` of its words, ``NEEDED`` that stand in the passage.
+   Both are necessary and look at the one passage alone, so what is found depends neither on luck nor on the other items.
+
 Why windows of four: of a stretch of 20 words of which 17 stand there in order, the three missing words and one break by
 strange words that are passage words too leave at most five runs, and 17 words in five runs make one of four or more.
 
@@ -90,6 +94,13 @@ class ItemIndex:
         vocabulary = sorted({w for ws in self.words for w in ws})
         self.vocabulary = {w: i for i, w in enumerate(vocabulary)}
         self.signs = _word_bits(vocabulary)
+        self.members = [np.array([self.vocabulary[w] for w in held], np.int64) for held in self.sets]
+        self.floor = np.array([least if len(ws) >= STRETCH else len(vocabulary) + 1 for least, ws in zip(self.least, self.words)])
+        holders: list[list[int]] = [[] for _ in vocabulary]
+        for item, held in enumerate(self.members):
+            for w in held.tolist():
+                holders[w].append(item)
+        self.holders = [np.array(h, np.int64) for h in holders]
         prints, owners = [], []
         for item, words in enumerate(self.words):
             if len(words) >= max(STRETCH, WINDOW):
@@ -122,6 +133,26 @@ class ItemIndex:
             items.append(self.owners[own[near]])
         return np.concatenate(at), np.concatenate(items)
 
+    def sharing(self, docs: list[list[str]]) -> set[tuple[int, int]]:
+        """(number of document, number of passage) of all pairs that can hold a stretch, by counts of shared words; none is missed."""
+        found: set[tuple[int, int]] = set()
+        mark = np.zeros(len(self.vocabulary) + 1, bool)  # the last place is that of strange words
+        strange = len(self.vocabulary)
+        for d, words in enumerate(docs):
+            ids = np.array([self.vocabulary.get(w, strange) for w in words], np.int64)
+            known = [self.holders[i] for i in set(ids.tolist()) if i != strange]
+            if not known:
+                continue
+            shared = np.bincount(np.concatenate(known), minlength=len(self.words))
+            for item in np.flatnonzero(shared >= self.floor):
+                mark[self.members[item]] = True
+                sums = np.concatenate([[0], np.cumsum(mark[ids])])
+                mark[self.members[item]] = False
+                span = min(SPAN, len(ids))
+                if (sums[span:] - sums[:-span]).max() >= NEEDED:
+                    found.add((d, int(item)))
+        return found
+
     def candidates(self, docs: list[list[str]]) -> set[tuple[int, int]]:
         """(number of document, number of passage) of all documents with a window near one of a passage."""
         found: set[tuple[int, int]] = set()
@@ -233,7 +264,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, id_col: str = "doc_id",
                 ids = batch["d"].to_numpy()
                 found: list[tuple[int, int]] = []
                 last, places, held = -1, {}, set()
-                for d, number in sorted(index.candidates(texts)):
+                for d, number in sorted(index.candidates(texts) | index.sharing(texts)):
                     if d != last:
                         last, places = d, defaultdict(list)
                         for k, w in enumerate(texts[d]):
