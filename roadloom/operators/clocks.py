@@ -16,13 +16,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadloom.common import filled, fits_broadcast, fresh, lookup_join
-from roadloom.functions.instants import DAY_US, offset_seconds, with_written_time, utc_text, with_wall_clock_utc
+from roadloom.functions.instants import ABBREVIATIONS, DAY_US, offset_seconds, with_written_time, utc_text, with_wall_clock_utc
 from roadloom.session import cut_lineage
 
 #: A written time may lie this much after its ingestion before it counts as a violation (clocks differ a little).
 CLOCK_SLACK_US = 5 * 60 * 1_000_000
 #: A distance from ingestion counts up to this many days, so that single rubbish values do not outweigh the rest.
 FAR_DAYS = 1000
+#: Zones tried for files without one where neither the caller nor any listed file names zones: those with known abbreviations.
+DEFAULT_ZONES = tuple(sorted(zone for zone in ABBREVIATIONS if zone != "*"))
 
 
 def _valid_zone(spark: SparkSession, column: str) -> Column:
@@ -98,7 +100,8 @@ def _with_times(df: DataFrame, columns: list[str], times: list[str]) -> DataFram
 def file_histories(df: DataFrame, columns: list[str], files: DataFrame, file_col: str, seen_col: str, zones: list[str] | None = None) -> DataFrame:
     """One row per file: its key, ``__zone`` and ``__day_first``; what ``files`` leaves open is estimated from ``df``.
 
-    Only rows of files that leave something open are read for their times.
+    Files are those listed and those that rows of ``df`` name; of one that is not listed everything is open. Candidate zones
+    are ``zones``, else those of the listed files, else ``DEFAULT_ZONES``. Only rows of files that leave something open are read for their times.
     """
     spark = df.sparkSession
     seen, *times = fresh("seen", *[f"t{i}" for i in range(len(columns))])
@@ -110,14 +113,15 @@ def file_histories(df: DataFrame, columns: list[str], files: DataFrame, file_col
         F.when(order == "DMY", True).when(order == "MDY", False).alias("__day_first"),
         _us(F.col("exported_at")).alias("__exported"),
     ).dropDuplicates([file_col])
-    known = cut_lineage(known)
+    named = df.select(file_col).where(F.col(file_col).isNotNull()).distinct()
+    known = cut_lineage(known.join(named, [file_col], "full"))
     open_order = known.where("__day_first is null").drop("__day_first")
     evidence = lookup_join(facts, open_order, [file_col], "inner").withColumn(seen, F.coalesce(F.col("__exported"), F.col(seen)))
     guessed = _score_orders(_with_times(evidence, columns, times), times, file_col, seen)
     out = known.alias("k").join(guessed.withColumnRenamed("__day_first", "__guess"), [file_col], "left")
     out = out.withColumn("__day_first", F.coalesce("__day_first", "__guess", F.lit(True))).drop("__guess")
     open_zone = out.where("__zone is null")
-    candidates = zones or [r[0] for r in known.select("__zone").where("__zone is not null").distinct().limit(700).collect()]
+    candidates = zones or [r[0] for r in known.select("__zone").where("__zone is not null").distinct().limit(700).collect()] or list(DEFAULT_ZONES)
     rows = facts.select(file_col).join(F.broadcast(open_zone) if fits_broadcast(open_zone) else open_zone, [file_col], "left_semi")
     if candidates and not rows.isEmpty():
         rows = lookup_join(facts, open_zone.select(file_col, "__day_first", "__exported"), [file_col], "inner")
@@ -136,7 +140,8 @@ def with_instants(
     ``skipped`` for a wall-clock time that its zone has twice or never, ``unreadable`` for anything that is no real date
     with time of day, ``no zone`` where neither the value nor the file nor the estimate gives one. Null tokens have
     neither. Rows are kept one to one, duplicates too; an empty table gives an empty table; extra columns pass through,
-    and existing columns of the new names are replaced. A file missing from ``files`` has no zone and is day first.
+    and existing columns of the new names are replaced. A file missing from ``files`` is estimated in zone and order; rows
+    without a file have no zone and are day first, as they are no one file to estimate from.
     """
     new = [f"{c}_{k}" for c in columns for k in ("us", "word")]
     df = df.drop(*new)
