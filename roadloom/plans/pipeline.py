@@ -120,7 +120,7 @@ def flag_in_brief(df: DataFrame, brief: DataFrame, strict: bool = False, progres
 
 
 def guard_rows(df: DataFrame, expected: int, found: int) -> DataFrame:
-    """Equal counts pass; too many are cut to the expected number; too few are logged and returned as they are."""
+    """The guard of the original, for parity: too many rows are cut, too few logged. ``run_pipeline`` raises on either instead."""
     if found > expected:
         log.error("%d rows instead of %d: cut", found, expected)
         return df.limit(expected)
@@ -129,6 +129,27 @@ def guard_rows(df: DataFrame, expected: int, found: int) -> DataFrame:
     return df
 
 
+class RowCountError(ValueError):
+    """The output has not as many rows as the input; nothing was published."""
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _publish(spark: SparkSession, held: str, path: str, expected: int, found: int) -> None:
+    """Move a written output to its place if it has the expected rows; else remove it and raise."""
+    fs, source = _file_system(spark, held)
+    target = _file_system(spark, path)[1]
+    if found != expected:
+        fs.delete(source, True)
+        raise RowCountError(f"{path}: {found} rows instead of {expected}")
+    fs.delete(target, True)
+    if not fs.rename(source, target):
+        raise OSError(f"{held} could not be moved to {path}")
+
+
 def run_pipeline(
     spark: SparkSession, lmd_path: str, fixes_path: str, brief_path: str, out_path: str | None = None, policy: str = FIRST_LISTED, strict: bool = False,
     plate_required: bool = True, progress: Progress | None = None, single: bool = False, suffix: str = COMPLETE_SUFFIX,
@@ -144,9 +165,10 @@ def run_pipeline(
     rows = rows.orderBy(*PLACE).observe(written, F.count(F.lit(1)).alias("rows"), F.count_if("__matched").alias("matched"), F.count_if("InBrief").alias("in_brief"))
     _tell(progress, "write")
     path = out_path or output_name(lmd_path, suffix)
-    write_csv(rows.drop("__matched"), path, in_order=False, single=single)
+    held = f"{path}.unchecked"
+    write_csv(rows.drop("__matched"), held, in_order=False, single=single)
     report.counts |= {"rows_in": lmd.count(), **{("rows_out" if k == "rows" else k): v for k, v in written.get.items()}}
-    guard_rows(rows, report.counts["rows_in"], report.counts["rows_out"])
+    _publish(spark, held, path, report.counts["rows_in"], report.counts["rows_out"])
     _tell(progress, "done")
     return path, report
 
@@ -185,4 +207,4 @@ def run_brief(
     return path
 
 
-__all__ = ["FIRST_LISTED", "LATEST_START", "Report", "apply_lane_fixes", "flag_in_brief", "guard_rows", "run_brief", "run_lane_fixes", "run_pipeline"]
+__all__ = ["FIRST_LISTED", "LATEST_START", "Report", "RowCountError", "apply_lane_fixes", "flag_in_brief", "guard_rows", "run_brief", "run_lane_fixes", "run_pipeline"]
