@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: What counts as null in the text columns of survey files.
 NULL_TOKENS = ("", "NULL", "null", "NA")
 
+_BLANKS = " \t\n\x0b\x0c\r\u00a0\u2007\ufeff"
+
 #: A side of a join is broadcast only when it was measured to have at most so many rows and so many characters.
 BROADCAST_ROWS, BROADCAST_CHARS = 200_000, 64_000_000
 
@@ -27,7 +29,7 @@ def null_tokens_to_null(c: Column) -> Column:
 
 def trim_blanks(c: Column) -> Column:
     """Without outer white space of any kind (tabs, line ends and no-break spaces too)."""
-    return F.regexp_replace(c, r"^[\s\u00a0\u2007\ufeff]+|[\s\u00a0\u2007\ufeff]+$", "")
+    return F.btrim(c, F.lit(_BLANKS))
 
 
 def filled(c: Column) -> Column:
@@ -46,6 +48,15 @@ def literal_map(table: dict[str, int]) -> Column:
     return F.expr("map(" + ", ".join(f"'{k}', {v}" for k, v in table.items()) + ")")
 
 
+def apart(c: Column) -> Column:
+    """``c``, through an expression that takes its projection out of whole-stage code generation.
+
+    For projections of very many expressions: in one stage they make one method of more than 8,000 bytes, which the JVM
+    never compiles. A projection by itself is generated as many small methods and runs several times as fast.
+    """
+    return F.transform(F.array(c), lambda x: x)[0]
+
+
 def fresh(*hints: str) -> list[str]:
     """Column names that cannot clash with those of a caller's table."""
     tag = uuid.uuid4().hex[:8]

@@ -1,6 +1,6 @@
 """Reading single written times: every value for itself, in any of the known ways of writing.
 
-``read_written_time`` gives a struct of plain integers; nothing here depends on the session's time zone or on ANSI mode,
+``with_written_time`` gives a struct of plain integers; nothing here depends on the session's time zone or on ANSI mode,
 because dates are turned into day numbers by arithmetic and texts into numbers by ``try_cast`` only.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.common import filled, fresh, literal_map
+from roadloom.common import apart, filled, fresh, literal_map
 
 DAY_US = 86_400_000_000
 
@@ -84,87 +84,85 @@ def _micros(fraction: Column) -> Column:
     return F.coalesce(_int(F.rpad(F.substring(fraction, 1, 6), 6, "0")), F.lit(0))
 
 
-def read_written_time(value: Column) -> Column:
-    """Struct of a written time, null where the value is a null token or has none of the known forms.
+#: Each way of writing, and its parts in one order: kind, year, two date parts, hour, minute, second, fraction, half of the day, zone.
+_FORMS = (
+    (_ISO, "I|$1|$2|$3|$4|$5|$6|$7|$8|$9"),
+    (_PAIR, "P|$4|$1|$3|$5|$6|$7|$8|$9|$10"),
+    (_UNIX_MS, "M|$1|"),
+    (_UNIX_S, "S|$1|$2"),
+    (_NAMED, "N|$3|$2|$1|$4|$5|$6|$7|$8|$9"),
+    (_COMPACT, "I|$1|$2|$3|$4|$5|$6|$7||$8"),
+)
+
+
+def with_written_time(df: DataFrame, value: str, out: str) -> DataFrame:
+    """``df`` with a struct ``out`` of the written time in column ``value``; null for null tokens and for none of the known forms.
 
     ``kind``: ``ymd`` (order of the date is written), ``pair`` (a numeric day/month pair) or ``unix``;
     ``dmy_days``/``mdy_days``: day number by either reading, null where that reading is no real date (equal for ``ymd``);
     ``clock_us``: microseconds since midnight, null where it is no time of day; ``unix_us``: the instant, for ``unix``;
     ``zone``: the zone mark as written in capitals, empty without one.
     Both ``dmy_days`` and ``mdy_days`` null, or ``clock_us`` null, means: not readable.
+
+    Every form starts with a digit and every rearranged text with a letter, so each value is matched once and the forms
+    after its own fail on the first character. Each step is a projection of its own (see ``apart``): all of it is compiled
+    code, and no expression is repeated inside another.
     """
-    s = filled(value)
-    canon = (
-        F.when(s.rlike(_ISO), F.regexp_replace(s, _ISO, "I|$1|$2|$3|$4|$5|$6|$7|$8|$9"))
-        .when(s.rlike(_PAIR), F.regexp_replace(s, _PAIR, "P|$4|$1|$3|$5|$6|$7|$8|$9|$10"))
-        .when(s.rlike(_UNIX_MS), F.regexp_replace(s, _UNIX_MS, "M|$1|"))
-        .when(s.rlike(_UNIX_S), F.regexp_replace(s, _UNIX_S, "S|$1|$2"))
-        .when(s.rlike(_NAMED), F.regexp_replace(s, _NAMED, "N|$3|$2|$1|$4|$5|$6|$7|$8|$9"))
-        .when(s.rlike(_COMPACT), F.regexp_replace(s, _COMPACT, "I|$1|$2|$3|$4|$5|$6|$7||$8"))
-    )
-    # Each step binds its results to a lambda variable, so that the next reads them without computing them again.
-    numbers = F.transform(F.array(F.split(canon, r"\|", -1)), _parts_to_numbers)
-    return F.transform(F.transform(numbers, _check_numbers), _numbers_to_time)[0]
-
-
-def _parts_to_numbers(p: Column) -> Column:
-    at = lambda i: F.get(p, F.lit(i))
-    kind = at(0)
+    parts, hour, ymd, dmy = fresh("p", "hour", "ymd", "dmy")
+    kind, unix, y, a, b, h, mi, s, us, half, zone = numbers = fresh("kind", "unix", "y", "a", "b", "h", "mi", "s", "us", "half", "zone")
+    canon = filled(F.col(f"`{value}`"))
+    canon = F.when(F.substring(canon, 1, 1).between("0", "9"), canon)
+    for form, rearranged in _FORMS:
+        canon = F.regexp_replace(canon, form, rearranged)
+    rows = df.withColumn(parts, F.split(canon, r"\|", -1))
+    at = lambda i: F.get(F.col(parts), F.lit(i))
     months = literal_map({name: i for i, names in enumerate(MONTH_NAMES, 1) for name in names})
-    unix = F.when(kind == "M", _int(at(1)) * 1000).when(kind == "S", _int(at(1)) * 1_000_000 + _micros(at(2)))
-    return F.when(
-        kind.isNotNull(),
-        F.struct(
-            kind.alias("kind"), unix.alias("unix_us"), F.when(~kind.isin("M", "S"), _year(at(1))).alias("y"),
-            F.when(kind == "N", F.try_element_at(months, F.lower(at(2)))).otherwise(_int(at(2))).alias("a"), _int(at(3)).alias("b"),
-            _int(at(4)).alias("h"), _int(at(5)).alias("mi"), F.coalesce(_int(at(6)), F.lit(0)).alias("s"), _micros(at(7)).alias("us"),
-            F.upper(F.coalesce(at(8), F.lit(""))).alias("half"), F.upper(F.coalesce(at(9), F.lit(""))).alias("zone"),
+    k = at(0)
+    rows = rows.withColumns({
+        kind: apart(F.when(k.isin("I", "P", "N", "M", "S"), k)),
+        unix: F.when(k == "M", _int(at(1)) * 1000).when(k == "S", _int(at(1)) * 1_000_000 + _micros(at(2))),
+        y: F.when(k.isin("I", "P", "N"), _year(at(1))),
+        a: F.when(k == "N", F.try_element_at(months, F.lower(at(2)))).otherwise(_int(at(2))),
+        b: _int(at(3)), h: _int(at(4)), mi: _int(at(5)), s: F.coalesce(_int(at(6)), F.lit(0)), us: _micros(at(7)),
+        half: F.upper(F.coalesce(at(8), F.lit(""))), zone: F.upper(F.coalesce(at(9), F.lit(""))),
+    })
+    n = {c: F.col(c) for c in numbers}
+    rows = rows.withColumns({
+        hour: apart(
+            F.when((n[mi] > 59) | (n[s] > 59), F.lit(None))
+            .when(n[half] == "", F.when(n[h] <= 23, n[h]))
+            .when(n[h].between(1, 12), n[h] % 12 + F.when(n[half] == "PM", 12).otherwise(0))
         ),
+        ymd: F.when(real_date(n[y], n[a], n[b]), days_from_civil(n[y], n[a], n[b])),
+        dmy: F.when((n[kind] == "P") & real_date(n[y], n[b], n[a]), days_from_civil(n[y], n[b], n[a])),
+    })
+    pair, is_unix = n[kind] == "P", n[kind].isin("M", "S")
+    time = F.struct(
+        F.when(is_unix, "unix").when(pair, "pair").otherwise("ymd").alias("kind"), F.when(pair, F.col(dmy)).otherwise(F.col(ymd)).cast("bigint").alias("dmy_days"),
+        F.col(ymd).cast("bigint").alias("mdy_days"), F.when(~is_unix, ((F.col(hour) * 60 + n[mi]) * 60 + n[s]) * 1_000_000 + n[us]).cast("bigint").alias("clock_us"),
+        n[unix].cast("bigint").alias("unix_us"), F.when(is_unix, "Z").otherwise(n[zone]).alias("zone"),
     )
+    return rows.withColumn(out, apart(F.when(n[kind].isNotNull(), time))).drop(parts, hour, ymd, dmy, *numbers)
 
 
-def _check_numbers(n: Column) -> Column:
-    hour = (
-        F.when((n["mi"] > 59) | (n["s"] > 59), F.lit(None))
-        .when(n["half"] == "", F.when(n["h"] <= 23, n["h"]))
-        .when(n["h"].between(1, 12), n["h"] % 12 + F.when(n["half"] == "PM", 12).otherwise(0))
-    )
-    dated = ~n["kind"].isin("M", "S")
-    return F.struct(
-        n.alias("n"), hour.alias("hour"), (dated & real_date(n["y"], n["a"], n["b"])).alias("ymd"),
-        ((n["kind"] == "P") & real_date(n["y"], n["b"], n["a"])).alias("dmy"),
-    )
-
-
-def _numbers_to_time(v: Column) -> Column:
-    n = v["n"]
-    pair, unix = n["kind"] == "P", n["kind"].isin("M", "S")
-    ymd = F.when(v["ymd"], days_from_civil(n["y"], n["a"], n["b"]))
-    dmy = F.when(v["dmy"], days_from_civil(n["y"], n["b"], n["a"]))
-    return F.when(
-        n.isNotNull(),
-        F.struct(
-            F.when(unix, "unix").when(pair, "pair").otherwise("ymd").alias("kind"), F.when(pair, dmy).otherwise(ymd).cast("bigint").alias("dmy_days"),
-            ymd.cast("bigint").alias("mdy_days"), F.when(~unix, ((v["hour"] * 60 + n["mi"]) * 60 + n["s"]) * 1_000_000 + n["us"]).cast("bigint").alias("clock_us"),
-            n["unix_us"].cast("bigint").alias("unix_us"), F.when(unix, "Z").otherwise(n["zone"]).alias("zone"),
-        ),
-    )
+def marks_of_zone(zone: Column, others: dict[str, dict[str, int]] | None = None) -> Column:
+    """The zone abbreviations that count in a zone, with their seconds east of UTC: those of any zone and its own.
 
-
-def with_written_time(df: DataFrame, value: str, out: str) -> DataFrame:
-    """``df`` with ``read_written_time`` of column ``value`` as ``out``."""
-    return df.withColumn(out, read_written_time(F.col(f"`{value}`")))
+    ``others`` has the abbreviations of zones that ``ABBREVIATIONS`` does not list.
+    """
+    every = ABBREVIATIONS["*"]
+    table = {name: every | own for name, own in (ABBREVIATIONS | (others or {})).items() if name != "*"}
+    entries = ", ".join(f"'{name}', map({', '.join(f"'{k}', {v}" for k, v in own.items())})" for name, own in table.items())
+    return F.coalesce(F.try_element_at(F.expr(f"map({entries})"), zone), literal_map(every))
 
 
-def offset_seconds(zone_mark: Column, zone_name: Column) -> Column:
-    """Seconds east of UTC that a zone mark states; null without a mark or where the mark isn't one of that zone."""
-    sign = F.when(zone_mark.startswith("-"), -1).otherwise(1)
-    digits = F.regexp_replace(zone_mark, "[^0-9]", "")
+def offset_seconds(zone_mark: Column, marks: Column) -> Column:
+    """Seconds east of UTC that a zone mark states, by the abbreviations in ``marks``; null without a mark or where it is none of them."""
+    sign = F.substring(zone_mark, 1, 1)
+    digits = F.translate(zone_mark, "+-:", "")
     hours, minutes = _int(F.substring(digits, 1, 2)), F.coalesce(_int(F.substring(digits, 3, 2)), F.lit(0))
-    numeric = F.when((hours <= 18) & (minutes <= 59), sign * (hours * 3600 + minutes * 60))
-    table = literal_map({f"{zone} {name}": seconds for zone, names in ABBREVIATIONS.items() for name, seconds in names.items()})
-    named = F.coalesce(F.try_element_at(table, F.concat(F.lit("* "), zone_mark)), F.try_element_at(table, F.concat(zone_name, F.lit(" "), zone_mark)))
-    return F.when(zone_mark.rlike("^[+-]"), numeric).otherwise(named).cast("bigint")
+    numeric = F.when((hours <= 18) & (minutes <= 59), F.when(sign == "-", -1).otherwise(1) * (hours * 3600 + minutes * 60))
+    return F.when(sign.isin("+", "-"), numeric).when(zone_mark != "", F.try_element_at(marks, zone_mark)).cast("bigint")
 
 
 def _shift(us: Column, zone: Column) -> Column:
@@ -176,18 +174,20 @@ def with_wall_clock_utc(df: DataFrame, local: str, zone: str, us: str, word: str
     """``df`` with ``us`` and ``word`` of the wall-clock microseconds in column ``local``: the instant, or ``ambiguous`` /
     ``skipped`` at a clock change. Null local time or zone: both null.
 
-    The offsets in force a day before and a day after are both tried; the time exists under those that lead back to it.
+    The offsets in force a day before and a day after are both tried. Where they are the same there is no change in between
+    and the time exists once; else it exists under those that lead back to it.
     Each step is a projection of its own, so that no expression is repeated inside another.
     """
     at, z = F.col(local), F.col(zone)
     u1, u2 = fresh("u1", "u2")
-    out = df.withColumns({u1: at - (_shift(at - DAY_US, z) - (at - DAY_US)), u2: at - (_shift(at + DAY_US, z) - (at + DAY_US))})
+    out = df.withColumns({u1: apart(at - (_shift(at - DAY_US, z) - (at - DAY_US))), u2: at - (_shift(at + DAY_US, z) - (at + DAY_US))})
     ok1, ok2 = fresh("ok1", "ok2")
-    out = out.withColumns({ok1: _shift(F.col(u1), z) == at, ok2: _shift(F.col(u2), z) == at})
+    same = F.col(u1) == F.col(u2)
+    out = out.withColumns({ok1: apart(F.when(same, True).otherwise(_shift(F.col(u1), z) == at)), ok2: F.when(same, True).otherwise(_shift(F.col(u2), z) == at)})
     twice = F.col(ok1) & F.col(ok2) & (F.col(u1) != F.col(u2))
     never = ~F.col(ok1) & ~F.col(ok2)
     out = out.withColumns({
-        us: F.when(twice | never, F.lit(None)).when(F.col(ok1), F.col(u1)).when(F.col(ok2), F.col(u2)).cast("bigint"),
+        us: apart(F.when(twice | never, F.lit(None)).when(F.col(ok1), F.col(u1)).when(F.col(ok2), F.col(u2)).cast("bigint")),
         word: F.when(twice, "ambiguous").when(never, "skipped"),
     })
     return out.drop(u1, u2, ok1, ok2)
