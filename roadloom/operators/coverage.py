@@ -22,14 +22,15 @@ from roadloom.session import cut_lineage, map_batches
 
 _LOWEST = np.iinfo(np.int64).min
 
-_SUMMARY = "part int, first_key string, last_key string, last_max bigint, last_start bigint"
-_PIECE = "key string, kind string, start_us bigint, end_us bigint"
+
+def _lowest(dtype: np.dtype) -> int | float:
+    return _LOWEST if dtype == np.int64 else -np.inf
 
 
 class _Walk:
     """State of one pass over rows sorted by (key, start): the current key, its largest end and its period's start."""
 
-    def __init__(self, key: str | None = None, top: int = _LOWEST, begun: int = _LOWEST):
+    def __init__(self, key: str | None = None, top: int | float | None = None, begun: int | float | None = None):
         self.key, self.top, self.begun = key, top, begun
 
     def step(self, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -38,24 +39,25 @@ class _Walk:
         new_key = np.empty(n, bool)
         new_key[0] = keys[0] != self.key
         new_key[1:] = keys[1:] != keys[:-1]
-        before, begun = np.empty(n, np.int64), np.empty(n, np.int64)
+        before, begun = np.empty(n, starts.dtype), np.empty(n, starts.dtype)
+        lowest = _lowest(starts.dtype)
         cuts = np.flatnonzero(new_key)
         bounds = np.unique(np.concatenate([[0], cuts, [n]]))
         for a, b in zip(bounds[:-1], bounds[1:]):
             carried = not new_key[a]
-            top, mark = (self.top, self.begun) if carried else (_LOWEST, _LOWEST)
-            running = np.maximum.accumulate(np.concatenate([[top], ends[a:b]]))
+            top, mark = (self.top, self.begun) if carried else (lowest, lowest)
+            running = np.maximum.accumulate(np.concatenate([np.array([top], ends.dtype), ends[a:b]]))
             before[a:b] = running[:-1]
             opens = starts[a:b] > running[:-1]
             if not carried:
                 opens[0] = True
-            begun[a:b] = np.maximum.accumulate(np.where(opens, starts[a:b], mark))
-            self.key, self.top, self.begun = keys[b - 1], int(running[-1]), int(begun[b - 1])
+            begun[a:b] = np.maximum.accumulate(np.where(opens, starts[a:b], np.array(mark, starts.dtype)))
+            self.key, self.top, self.begun = keys[b - 1], running[-1].item(), begun[b - 1].item()
         return new_key, before, begun
 
 
 def _arrays(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return batch["key"].to_numpy(object), batch["s"].to_numpy(np.int64), batch["e"].to_numpy(np.int64)
+    return batch["key"].to_numpy(object), batch["s"].to_numpy(), batch["e"].to_numpy()
 
 
 def _summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,10 +71,10 @@ def _summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "first_key": [first], "last_key": [walk.key], "last_max": [walk.top], "last_start": [walk.begun]})
 
 
-def combine_summaries(summaries: list[tuple[int, str, str, int, int]]) -> dict[int, tuple[str, int, int]]:
+def combine_summaries(summaries: list[tuple]) -> dict[int, tuple]:
     """Carry-in of every partition that goes on with the key of the one before: (key, largest end, start of the period)."""
-    carried: dict[int, tuple[str, int, int]] = {}
-    key, top, begun = None, _LOWEST, _LOWEST
+    carried: dict[int, tuple] = {}
+    key, top, begun = None, None, None
     for part, first, last, last_max, last_start in sorted(summaries):
         if first == key:
             carried[part] = (key, top, begun)
@@ -89,14 +91,20 @@ def continuous_periods(df: DataFrame, key: str, start: str, end: str, partitions
 
     Intervals that overlap, nest or share an end instant form one period; an interval of no length is one too. Rows with
     a null key, start or end, and backward ones (end before start), do not count. Duplicates change nothing. An empty
-    table gives an empty table. Only the three named columns are read, so extra columns of any name do no harm.
+    table gives an empty table. Starts and ends are whole numbers, or doubles where ``start`` is one: these are compared as
+    they are, without rounding, infinite ends too; NaN is none. Only the three named columns are read, so extra columns of any name do no harm.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(key).cast("string").alias("key"), F.col(start).cast("bigint").alias("s"), F.col(end).cast("bigint").alias("e"))
+    number = "double" if dict(df.select(F.col(start).alias("s")).dtypes)["s"] == "double" else "bigint"
+    summary = f"part int, first_key string, last_key string, last_max {number}, last_start {number}"
+    piece = f"key string, kind string, start_us {number}, end_us {number}"
+    rows = df.select(F.col(key).cast("string").alias("key"), F.col(start).cast(number).alias("s"), F.col(end).cast(number).alias("e"))
+    if number == "double":
+        rows = rows.where("not isnan(s) and not isnan(e)")
     rows = rows.where("key is not null and s <= e").groupBy("key", "s").agg(F.max("e").alias("e"))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = cut_lineage(rows.repartitionByRange(n, "key", "s").sortWithinPartitions("key", "s"))
-    carried = combine_summaries([tuple(r) for r in map_batches(ordered, _summarise, _SUMMARY).collect()])
+    carried = combine_summaries([tuple(r) for r in map_batches(ordered, _summarise, summary).collect()])
 
     def rescan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         walk = _Walk(*carried.get(TaskContext.get().partitionId(), ()))
@@ -110,6 +118,6 @@ def continuous_periods(df: DataFrame, key: str, start: str, end: str, partitions
             pieces = pd.DataFrame({"key": keys, "kind": "period", "start_us": begun, "end_us": ends})
             yield pieces.groupby(["key", "kind", "start_us"], as_index=False, sort=False)["end_us"].max()
 
-    pieces = map_batches(ordered, rescan, _PIECE)
+    pieces = map_batches(ordered, rescan, piece)
     out = pieces.groupBy("key", "kind", "start_us").agg(F.max("end_us").alias("end_us"))
     return out.select(F.col("key").alias(key), "kind", "start_us", "end_us")
