@@ -50,8 +50,12 @@ def without_last_word(c: Column) -> Column:
 
 
 def number(c: Column, strict: bool = False) -> Column:
-    """Double of a text; null where it is none, or an error if ``strict``."""
-    return c.cast("double") if strict else c.try_cast("double")
+    """Double of a text; null where it is none, or an error if ``strict``, whatever the session's ANSI mode."""
+    found = c.try_cast("double")
+    if not strict:
+        return found
+    bad = F.raise_error(F.concat(F.lit("CAST_INVALID_INPUT: no number: "), c)).cast("double")
+    return F.when(c.isNotNull() & found.isNull(), bad).otherwise(found)
 
 
 def plain_number(c: Column) -> Column:

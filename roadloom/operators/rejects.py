@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.common import NULL_TOKENS, lookup_join
+from roadloom.functions.scalars import FALSE_TOKENS, TRUE_TOKENS
 from roadloom.operators.drift import WIDE_FIELDS, field_of
 from roadloom.schema import field_keys, loose
 from roadloom.session import map_batches
@@ -27,9 +28,7 @@ from roadloom.session import map_batches
 #: Blocks of at most this many records are diagnosed strictly at once instead of being halved further.
 STRICT_BLOCK = 4
 
-#: Boolean tokens, null tokens included.
-TRUE_TOKENS = ("1", "True", "true", "TRUE", "T", "t")
-FALSE_TOKENS = ("0", "False", "false", "FALSE", "F", "f", "")
+#: Boolean tokens, null tokens included.
 BOOLEANS = frozenset((*TRUE_TOKENS, *FALSE_TOKENS, *NULL_TOKENS))
 
 _LANE = r"[LR]?[1-9][A-Z]?"

@@ -31,12 +31,9 @@ def _query(sql: str):
 
 
 def _micros(c: Column) -> Column:
-    return F.unix_micros(c.cast("timestamp"))
-
-
-def _utc(spark: SparkSession) -> None:
-    """Stand-in times have no zone; they are taken as UTC."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Microseconds since 1970 of a time without zone, taken as UTC whatever the session's zone."""
+    clock = (F.hour(c) * 60 + F.minute(c)).cast("bigint") * 60_000_000 + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
+    return F.unix_date(c.cast("date")).cast("bigint") * 86_400_000_000 + clock
 
 
 # Facts and intervals -----------------------------------------------------------------------------------------------------
@@ -55,10 +52,10 @@ def _rewrite_sql(lane: str, fix: str) -> str:
     )
 
 
-def _facts(spark: SparkSession, d: str) -> DataFrame:
+def _facts(spark: SparkSession, d: str, *further: str) -> DataFrame:
     user = F.col("user_id") % 4
     lane = F.when(user == 0, "L1").when(user == 1, "R1A").when(user == 2, "1")
-    return table(spark, d, "events").select("event_id", scalars.epoch_seconds(_micros(F.col("ts"))).alias("t"), lane.alias("lane"))
+    return table(spark, d, "events").select("event_id", scalars.epoch_seconds(_micros(F.col("ts"))).alias("t"), lane.alias("lane"), *further)
 
 
 def _fixes(spark: SparkSession, d: str) -> DataFrame:
@@ -71,13 +68,12 @@ def _fixes(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _lane_fixed(spark: SparkSession, d: str, policy: str) -> DataFrame:
-    _utc(spark)
-    rows = lookup_interval(_facts(spark, d), _fixes(spark, d), "t", policy, out="fix")
+def _lane_fixed(spark: SparkSession, d: str, policy: str, *further: str) -> DataFrame:
+    rows = lookup_interval(_facts(spark, d, *further), _fixes(spark, d), "t", policy, out="fix")
     fix = F.col("fix")
     skip = F.coalesce(fix["lane"] == "-1", F.lit(False)) if policy == FIRST_LISTED else F.lit(False)
     return rows.select(
-        "event_id", scalars.rewrite_lane(F.col("lane"), fix["lane"]).alias("lane"), F.when(fix.isNotNull() & ~skip, fix["ignore"]).otherwise(False).alias("ignore")
+        "event_id", scalars.rewrite_lane(F.col("lane"), fix["lane"]).alias("lane"), F.when(fix.isNotNull() & ~skip, fix["ignore"]).otherwise(False).alias("ignore"), *further
     )
 
 
@@ -105,7 +101,6 @@ def lane_fix_latest_start(spark: SparkSession, d: str) -> DataFrame:
 @_query(f"WITH {_FIXES_SQL}, {_FACTS_SQL} SELECT event_id, CAST(min(ord) AS BIGINT) AS ord FROM facts JOIN fixes ON t BETWEEN s AND e GROUP BY event_id")
 def lane_fix_segments(spark: SparkSession, d: str) -> DataFrame:
     """Which interval holds at each fact, through the segments alone."""
-    _utc(spark)
     fixes = _fixes(spark, d).withColumn("payload", F.struct("ord"))
     index, facts = segments(fixes, FIRST_LISTED), _facts(spark, d)
     hit = (F.floor(facts["t"] / F.lit(CHUNK_S)) == index["chunk"]) & facts["t"].between(index["lo"], index["hi"])
@@ -145,10 +140,9 @@ FROM facts JOIN events USING (event_id) LEFT JOIN m USING (event_id)"""
 )
 def combined_pipeline(spark: SparkSession, d: str) -> DataFrame:
     """Lane fixes, standard time text and the range mark in one plan."""
-    rows = _lane_fixed(spark, d, FIRST_LISTED)
-    events = table(spark, d, "events").select("event_id", "user_id", "value", scalars.standard_time_text(_micros(F.col("ts"))).alias("time_text"))
+    rows = _lane_fixed(spark, d, FIRST_LISTED, "user_id", "value", "ts").withColumn("time_text", scalars.standard_time_text(_micros(F.col("ts"))))
     ranges = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("lo"), (F.col("p_size") + 10).cast("double").alias("hi"))
-    marked = mark_in_range(rows.join(events, "event_id"), ranges, "user_id", "value", "in_brief", "p_partkey", "lo", "hi")
+    marked = mark_in_range(rows, ranges, "user_id", "value", "in_brief", "p_partkey", "lo", "hi")
     return marked.select("event_id", "lane", "ignore", "time_text", "in_brief")
 
 
@@ -157,8 +151,7 @@ def combined_pipeline(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"SELECT event_id, {_rewrite_sql('lane', 'fix')} AS lane FROM (SELECT event_id, {_LANE_SQL} AS lane, {_FIX_LANE_SQL} AS fix FROM events)")
 def lane_rewrite(spark: SparkSession, d: str) -> DataFrame:
-    _utc(spark)
-    rows = _facts(spark, d).join(table(spark, d, "events").select("event_id", "event_type"), "event_id")
+    rows = _facts(spark, d, "event_type")
     kind = F.col("event_type")
     fix = F.when(kind == "view", "2").when(kind == "click", "-1").when(kind == "error", "TURN").when(kind == "signup", "3")
     return rows.select("event_id", scalars.rewrite_lane(F.col("lane"), fix).alias("lane"))
@@ -214,7 +207,6 @@ def round_to_10m(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _read_back(spark: SparkSession, d: str, source: str, key: str, ts: str, text: Column) -> DataFrame:
-    _utc(spark)
     rows = table(spark, d, source).select(key, text.alias("text"))
     out, _ = timestamps.parse_column(rows, "text", [F.col(key)], "us")
     return out.select(key, "us")
@@ -253,13 +245,11 @@ _ts_query("ts_fallback", "orders", "o_orderkey", "o_orderdate", _fmt("o_orderdat
 
 @_query("SELECT event_id, strftime(ts, '%d/%m/%Y %H:%M:%S.%g') AS text FROM events")
 def ts_format_out(spark: SparkSession, d: str) -> DataFrame:
-    _utc(spark)
     return table(spark, d, "events").select("event_id", scalars.standard_time_text(_micros(F.col("ts"))).alias("text"))
 
 
 @_query("SELECT event_id, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS s FROM events")
 def epoch_floor_seconds(spark: SparkSession, d: str) -> DataFrame:
-    _utc(spark)
     return table(spark, d, "events").select("event_id", scalars.epoch_seconds(_micros(F.col("ts"))).alias("s"))
 
 
@@ -268,7 +258,6 @@ def epoch_floor_seconds(spark: SparkSession, d: str) -> DataFrame:
     FROM (SELECT strftime(ts, '%m/%d/%Y %H:%M:%S') AS t FROM events)"""
 )
 def ts_detect_success_rate(spark: SparkSession, d: str) -> DataFrame:
-    _utc(spark)
     text = F.date_format("ts", "MM/dd/yyyy HH:mm:ss")
     reads = lambda f: F.count(timestamps.read_format(text, f))
     return table(spark, d, "events").agg(F.count(F.lit(1)).alias("n"), reads("d/M/yyyy H:mm:ss").alias("day_first"), reads("M/d/yyyy H:mm:ss").alias("month_first"))
@@ -279,7 +268,6 @@ def ts_detect_success_rate(spark: SparkSession, d: str) -> DataFrame:
     FROM (SELECT CASE WHEN event_type = 'error' THEN strftime(ts, '%Y-%m-%d') WHEN event_type <> 'view' THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') END AS v FROM events)"""
 )
 def parse_failure_counts(spark: SparkSession, d: str) -> DataFrame:
-    _utc(spark)
     kind = F.col("event_type")
     text = F.when(kind == "error", F.date_format("ts", "yyyy-MM-dd")).when(kind != "view", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
     rows = table(spark, d, "events").select(text.alias("v"))

@@ -44,7 +44,7 @@ def _tell(progress: Progress | None, step: str) -> None:
 
 def _read_times(df: DataFrame, column: str, order: list, out: str, report: Report) -> DataFrame:
     parsed, choice = timestamps.parse_column(df, column, order, out, required=True)
-    report.formats[column], report.counts[f"{column}_failures"] = choice.format, choice.failures
+    report.formats[column], report.counts[f"{column}_failures"], report.counts[f"{column}_rows"] = choice.format, choice.failures, choice.rows
     if choice.failures:
         log.warning("%d values of %s can't be read as %s, such as %s", choice.failures, column, choice.format, timestamps.failing_samples(parsed, column, out))
     return parsed
@@ -120,7 +120,7 @@ def flag_in_brief(df: DataFrame, brief: DataFrame, strict: bool = False, progres
 
 
 def guard_rows(df: DataFrame, expected: int, found: int) -> DataFrame:
-    """The guard of the original, for parity: too many rows are cut, too few logged. ``run_pipeline`` raises on either instead."""
+    """For tables in memory: too many rows are cut to the number expected, too few logged. ``run_pipeline`` raises on either instead."""
     if found > expected:
         log.error("%d rows instead of %d: cut", found, expected)
         return df.limit(expected)
@@ -167,7 +167,9 @@ def run_pipeline(
     path = out_path or output_name(lmd_path, suffix)
     held = f"{path}.unchecked"
     write_csv(rows.drop("__matched"), held, in_order=False, single=single)
-    report.counts |= {"rows_in": lmd.count(), **{("rows_out" if k == "rows" else k): v for k, v in written.get.items()}}
+    # The rows in were counted when the format of their times was chosen, over all of them.
+    rows_in = report.counts[f"{need(lmd.columns, 'TestDateUTC')}_rows"]
+    report.counts |= {"rows_in": rows_in, **{("rows_out" if k == "rows" else k): v for k, v in written.get.items()}}
     _publish(spark, held, path, report.counts["rows_in"], report.counts["rows_out"])
     _tell(progress, "done")
     return path, report

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from collections.abc import Callable
@@ -31,13 +33,18 @@ def local_session(app: str = "roadloom", cores: int | str = "*", **conf: str) ->
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; a local one is made only where none is configured (tests)."""
+    """The shared checkpoint folder of the session; a local one is made only for a local master without one (tests)."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir()
     if found:
         return found
     configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="roadloom-checkpoint-"))
+    if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="roadloom-checkpoint-")
+        atexit.register(shutil.rmtree, configured, True)
+    sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
 
