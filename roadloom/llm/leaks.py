@@ -1,20 +1,18 @@
-"""Evaluation passages inside training text: SimHash windows, Hamming blocks, exact verification.
+"""Evaluation passages inside training text: anchors of item-sized windows, weighted-shingle similarity, exact verification.
 
 1. Texts and passages are reduced to plain words (``plain_words``): case, punctuation, spacing, markup, accents, invisible
    characters and look-alike letters make no difference.
-2. Of a document only words that occur in some passage are kept, so strange words in between vanish. Every window of
-   ``WINDOW`` successive words left gets a 64-bit SimHash, as does every such window of every passage.
-3. Fingerprints are cut into ``RADIUS + 1`` blocks. Two of them at Hamming distance up to ``RADIUS`` agree in one block at
-   least, so looking up each block in an index of the passages' windows finds all within the radius, for certain.
-4. A pair (document, item) that met is verified exactly: some stretch of ``STRETCH`` words of the passage whose words are
-   present with a weight of ``NEEDED`` at least, and of which ``NEEDED`` stand in the document in order within ``SPAN`` words.
-
-5. Pairs that the windows do not bring are found by counting (``ItemIndex.sharing``): a document that holds a stretch has
-   ``least_shared`` different words of the passage and, within ``SPAN`` of its words, ``NEEDED`` that stand in the passage.
-   Both are necessary and look at the one passage alone, so what is found depends neither on luck nor on the other items.
-
-Why windows of four: of a stretch of 20 words of which 17 stand there in order, the three missing words and one break by
-strange words that are passage words too leave at most five runs, and 17 words in five runs make one of four or more.
+2. Every window of ``STRETCH`` words of a passage holds one of its aligned blocks of ``BLOCK`` words whole. Of each block
+   the ``ANCHORS`` rarest words are indexed. As a window may lack ``STRETCH - NEEDED`` words, all but so many of a block's
+   anchors stand within ``SPAN`` words of a document that holds it: documents are looked up by that, and none is missed,
+   whatever words are put in or taken out, and whatever other passages there are.
+3. A pair (document, item) that met is compared by weighted shingles: the words of the passage within some ``SPAN`` words
+   of the document must weigh what a window of it weighs without its ``STRETCH - NEEDED`` heaviest words. Rare words weigh more.
+4. What is left is verified exactly: some stretch of ``STRETCH`` words of the passage of which ``NEEDED`` stand in the
+   document in order within ``SPAN`` words.
+
+Why no SimHash: with three words of twenty replaced the fingerprints of two windows differ in about eleven of 64 bits, and
+up to twenty; blocks that guarantee such a radius are three bits wide and select nothing (figures in the README).
 
 Items are broadcast, at most ``SHARD_ITEMS`` at a time: a longer list is cut into shards by hash and every document passes
 through each, so the size of a broadcast is bounded whatever the number of items. Documents are never grouped, shuffled or
@@ -24,26 +22,27 @@ collected; each is verified in the task that read it.
 from __future__ import annotations
 
 import html
+import math
 import re
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.common import bounded_shard
-from roadloom.session import map_batches
+from roadloom.session import cut_lineage, map_batches
 
-WINDOW, RADIUS, BITS = 4, 3, 64
 STRETCH, NEEDED, SPAN = 20, 17, 32
+#: Words of a block: two blocks less one word fit a stretch. Anchors of a block.
+BLOCK, ANCHORS = STRETCH // 2, 7
 SHARD_ITEMS = 5_000
-#: Words of a batch that are fingerprinted at a time, to bound memory.
-CHUNK_WORDS = 200_000
+#: Meetings of a word with blocks that are held at a time, to bound memory.
+CHUNK_ROWS = 2_000_000
 
 #: Letters of other scripts that look like Latin ones.
 LOOKALIKES = str.maketrans(
@@ -55,6 +54,19 @@ _TAG = re.compile(r"<[^<>]{0,200}>")
 _WORD = re.compile(r"[^\W_]+")
 
 
+class _Folding(dict):
+    """Plain form of single characters, each worked out when it is first met."""
+
+    def __missing__(self, code: int) -> str:
+        parts = unicodedata.normalize("NFKD", chr(code))
+        kept = "".join(c for c in parts if unicodedata.category(c) not in ("Mn", "Cf", "Cc") or c in "\n\t\r")
+        self[code] = kept.translate(LOOKALIKES)
+        return self[code]
+
+
+_FOLDING = _Folding()
+
+
 def plain_words(text: str) -> list[str]:
     """The words of a text in plain form."""
     if "&" in text:
@@ -63,140 +75,122 @@ def plain_words(text: str) -> list[str]:
         text = _TAG.sub(" ", text)
     text = text.casefold()
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text)
-        text = "".join(c for c in text if unicodedata.category(c) not in ("Mn", "Cf", "Cc") or c in "\n\t\r")
-        text = text.translate(LOOKALIKES)
+        text = text.translate(_FOLDING)
     return _WORD.findall(text.replace("'", "").replace("’", ""))
 
 
-def _word_bits(words: list[str]) -> np.ndarray:
-    """64 signs (+1 or -1) of each word, from a hash of it."""
-    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words], dtype=np.uint64)
-    bits = (hashes[:, None] >> np.arange(BITS, dtype=np.uint64)) & np.uint64(1)
-    return (bits.astype(np.int16) * 2 - 1).reshape(-1, BITS)
-
-
-def _fingerprints(signs: np.ndarray) -> np.ndarray:
-    """SimHash of every window of ``WINDOW`` successive rows. A bit at a tie takes that of the window's first word."""
-    sums = np.cumsum(np.vstack([np.zeros((1, BITS), np.int32), signs]), axis=0, dtype=np.int32)
-    totals = (sums[WINDOW:] - sums[:-WINDOW]) * 2 + signs[: len(signs) - WINDOW + 1]
-    return np.packbits(totals > 0, axis=1).view(np.uint64).ravel()
-
-
 class ItemIndex:
-    """Windows of the passages, indexed by each of the blocks of their fingerprints."""
+    """The passages of one shard: anchors of their blocks, and weights of their words."""
 
     def __init__(self, items: tuple[tuple[int, str], ...]):
         self.ids = [item for item, _ in items]
         self.words = [plain_words(passage) for _, passage in items]
-        self.sets = [frozenset(ws) for ws in self.words]
-        self.least = [least_shared(ws) for ws in self.words]
-        vocabulary = sorted({w for ws in self.words for w in ws})
-        self.vocabulary = {w: i for i, w in enumerate(vocabulary)}
-        self.signs = _word_bits(vocabulary)
-        self.members = [np.array([self.vocabulary[w] for w in held], np.int64) for held in self.sets]
-        self.floor = np.array([least if len(ws) >= STRETCH else len(vocabulary) + 1 for least, ws in zip(self.least, self.words)])
-        holders: list[list[int]] = [[] for _ in vocabulary]
-        for item, held in enumerate(self.members):
-            for w in held.tolist():
-                holders[w].append(item)
-        self.holders = [np.array(h, np.int64) for h in holders]
-        prints, owners = [], []
-        for item, words in enumerate(self.words):
-            if len(words) >= max(STRETCH, WINDOW):
-                found = np.unique(_fingerprints(self.signs[[self.vocabulary[w] for w in words]]))
-                prints.append(found)
-                owners.append(np.full(len(found), item, np.int64))
-        self.prints = np.concatenate(prints) if prints else np.empty(0, np.uint64)
-        self.owners = np.concatenate(owners) if owners else np.empty(0, np.int64)
-        self.width = BITS // (RADIUS + 1)
-        self.blocks = []
-        for b in range(RADIUS + 1):
-            keys = self._block(self.prints, b)
-            order = np.argsort(keys, kind="stable")
-            self.blocks.append((order, np.searchsorted(keys[order], np.arange((1 << self.width) + 1))))
-
-    def _block(self, prints: np.ndarray, b: int) -> np.ndarray:
-        return ((prints >> np.uint64(b * self.width)) & np.uint64((1 << self.width) - 1)).astype(np.int64)
-
-    def meetings(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position in ``prints``, number of passage) of all passages' windows within the radius."""
-        at, items = [], []
-        for b, (order, starts) in enumerate(self.blocks):
-            keys = self._block(prints, b)
-            first, count = starts[keys], starts[keys + 1] - starts[keys]
-            which = np.repeat(np.arange(len(prints)), count)
-            offset = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-            own = order[np.repeat(first, count) + offset]
-            near = np.bitwise_count(prints[which] ^ self.prints[own]) <= RADIUS
-            at.append(which[near])
-            items.append(self.owners[own[near]])
-        return np.concatenate(at), np.concatenate(items)
-
-    def sharing(self, docs: list[list[str]]) -> set[tuple[int, int]]:
-        """(number of document, number of passage) of all pairs that can hold a stretch, by counts of shared words; none is missed."""
-        found: set[tuple[int, int]] = set()
-        mark = np.zeros(len(self.vocabulary) + 1, bool)  # the last place is that of strange words
+        long = [(item, words) for item, words in enumerate(self.words) if len(words) >= STRETCH]
+        self.vocabulary = {w: i for i, w in enumerate(sorted({w for _, words in long for w in words}))}
+        self.blocks = [(item, words[b : b + BLOCK]) for item, words in long for b in range(0, len(words) - BLOCK + 1, BLOCK)]
+        used = Counter(w for _, words in self.blocks for w in set(words))
+        rarity = lambda w: (used[w], -len(w), w)
+        self.owner = np.array([item for item, _ in self.blocks], np.int64)
+        self.needed = np.ones(len(self.blocks), np.int64)
+        postings: list[list[tuple[int, int]]] = [[] for _ in self.vocabulary]
+        for k, (_, words) in enumerate(self.blocks):
+            anchors = sorted(set(words), key=rarity)[:ANCHORS]
+            self.needed[k] = len(anchors) - _losable([words.count(w) for w in anchors])
+            for bit, w in enumerate(anchors):
+                postings[self.vocabulary[w]].append((k, 1 << bit))
+        self.length = np.array([len(x) for x in postings] + [0], np.int64)  # the last place is that of strange words
+        self.start = np.cumsum(self.length) - self.length
+        self.posts = np.array([k for x in postings for k, _ in x], np.int64)
+        self.bits = np.array([bit for x in postings for _, bit in x], np.uint16)
+        # Whole numbers, so that sums are exact.
+        heavy = [round(100 * (1 + math.log(max(1, len(self.blocks)) / max(1, used[w])))) for w in self.vocabulary]
+        self.weights = np.array([*heavy, 0], np.int64)
+        self.members = [np.array([self.vocabulary[w] for w in set(words)] if len(words) >= STRETCH else [], np.int64) for words in self.words]
+        self.floor = [self._least(words) for words in self.words]
+
+    def _least(self, passage: list[str]) -> int:
+        """What the lightest stretch of a passage weighs without the heaviest words that may be missing."""
+        found = []
+        for s in range(len(passage) - STRETCH + 1):
+            weighed = sorted(int(self.weights[self.vocabulary[w]]) for w in passage[s : s + STRETCH])
+            found.append(sum(weighed[:NEEDED]))
+        return min(found, default=0)
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The words of a document as numbers of the vocabulary; strange words are the number after the last."""
         strange = len(self.vocabulary)
-        for d, words in enumerate(docs):
-            ids = np.array([self.vocabulary.get(w, strange) for w in words], np.int64)
-            known = [self.holders[i] for i in set(ids.tolist()) if i != strange]
-            if not known:
-                continue
-            shared = np.bincount(np.concatenate(known), minlength=len(self.words))
-            for item in np.flatnonzero(shared >= self.floor):
-                mark[self.members[item]] = True
-                sums = np.concatenate([[0], np.cumsum(mark[ids])])
-                mark[self.members[item]] = False
-                span = min(SPAN, len(ids))
-                if (sums[span:] - sums[:-span]).max() >= NEEDED:
-                    found.add((d, int(item)))
-        return found
-
-    def candidates(self, docs: list[list[str]]) -> set[tuple[int, int]]:
-        """(number of document, number of passage) of all documents with a window near one of a passage."""
-        found: set[tuple[int, int]] = set()
-        lookup = self.vocabulary
-        ids: list[int] = []
-        owner: list[int] = []
-
-        def flush() -> None:
-            if len(ids) >= WINDOW:
-                prints = _fingerprints(self.signs[ids])
-                own = np.array(owner)
-                whole = np.flatnonzero(own[: len(prints)] == own[WINDOW - 1 :])  # windows within one document
-                kept, back = np.unique(prints[whole], return_inverse=True)
-                at, items = self.meetings(kept)
-                if len(at):
-                    # One pass over the windows, grouped by fingerprint, gives the documents of each.
-                    by_print = np.argsort(back, kind="stable")
-                    starts = np.searchsorted(back[by_print], np.arange(len(kept) + 1))
-                    pairs = np.unique(np.stack([at, items], axis=1), axis=0)
-                    for k, item in pairs:
-                        for d in np.unique(own[whole[by_print[starts[k] : starts[k + 1]]]]):
-                            found.add((int(d), int(item)))
-            ids.clear()
-            owner.clear()
-
-        for d, words in enumerate(docs):
-            known = [lookup[w] for w in words if w in lookup]
-            if len(known) >= WINDOW:
-                # A document longer than a chunk is cut with an overlap, so no window is lost.
-                for a in range(0, len(known) - WINDOW + 1, CHUNK_WORDS):
-                    part = known[a : a + CHUNK_WORDS + WINDOW - 1]
-                    ids += part
-                    owner += [d] * len(part)
-                    if len(ids) >= CHUNK_WORDS:
-                        flush()
-        flush()
-        return found
-
-
-def least_shared(passage: list[str]) -> int:
-    """Different words that any document holding a stretch of the passage must share with it: those of the poorest stretch,
-    less the ones that may be missing."""
-    stretches = (passage[s : s + STRETCH] for s in range(len(passage) - STRETCH + 1))
-    return min((len(set(x)) for x in stretches), default=STRETCH) - (STRETCH - NEEDED)
+        return np.fromiter((self.vocabulary.get(w, strange) for w in words), np.int64, len(words))
+
+    def candidates(self, docs: list[np.ndarray]) -> list[tuple[int, int]]:
+        """(number of document, number of passage), sorted: all pairs where the anchors of a block stand close together; none is missed."""
+        if not self.blocks or not docs:
+            return []
+        words = np.concatenate(docs)
+        doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+        place = np.concatenate([np.arange(len(d)) for d in docs])
+        kept = self.length[words] > 0
+        words, doc, place = words[kept], doc[kept], place[kept]
+        total = np.cumsum(self.length[words])
+        found: list[np.ndarray] = []
+        a = 0
+        while a < len(words):
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + CHUNK_ROWS)))
+            # Further words than a span holds can't belong to what begins before: the overlap loses nothing.
+            part = slice(a, b + SPAN)
+            found.append(self._close(words[part], doc[part], place[part]))
+            a = b
+        pairs = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+        return [(int(x) // len(self.words), int(x) % len(self.words)) for x in pairs]
+
+    def _close(self, words: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+        count = self.length[words]
+        which = np.repeat(np.arange(len(words)), count)
+        post = np.repeat(self.start[words], count) + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+        group = doc[which] * len(self.blocks) + self.posts[post]
+        order = np.argsort(group, kind="stable")  # words of one document stay in order
+        group, at, post = group[order], place[which[order]], post[order]
+        needed = self.needed[self.posts[post]]
+        # Enough anchors within a span, repeats counted; then different ones, by the bits of all that follow in the span.
+        last = np.arange(len(group)) + needed - 1
+        inside = last < len(group)
+        last = np.minimum(last, max(len(group) - 1, 0))
+        begin = np.flatnonzero(inside & (group[last] == group) & (at[last] - at < SPAN))
+        met = self.bits[post[begin]]
+        open_ones, step = np.arange(len(begin)), 1
+        while len(open_ones):
+            nxt = begin[open_ones] + step
+            open_ones, nxt = open_ones[nxt < len(group)], nxt[nxt < len(group)]
+            near = (group[nxt] == group[begin[open_ones]]) & (at[nxt] - at[begin[open_ones]] < SPAN)
+            open_ones, nxt = open_ones[near], nxt[near]
+            met[open_ones] |= self.bits[post[nxt]]
+            step += 1
+        hit = begin[np.bitwise_count(met) >= needed[begin]]
+        return np.unique(doc[which[order[hit]]] * len(self.words) + self.owner[self.posts[post[hit]]])
+
+    def alike(self, doc: np.ndarray, item: int) -> bool:
+        """Weighted-shingle similarity: do words of the passage within some span of the document weigh enough?"""
+        own = np.zeros(len(self.weights), bool)
+        own[self.members[item]] = True
+        held = own[doc]
+        span = min(SPAN, len(doc))
+
+        def rolling(x: np.ndarray) -> np.ndarray:
+            sums = np.concatenate([[0], np.cumsum(x)])
+            return sums[span:] - sums[:-span]
+
+        enough = rolling(held) >= NEEDED
+        return bool(enough.any() and np.any(enough & (rolling(held * self.weights[doc]) >= self.floor[item])))
+
+
+def _losable(counts: list[int]) -> int:
+    """How many of the words that stand so often in a stretch can be gone altogether."""
+    lost, left = 0, STRETCH - NEEDED
+    for n in sorted(counts):
+        left -= n
+        if left < 0:
+            break
+        lost += 1
+    return lost
 
 
 @lru_cache(maxsize=2)
@@ -260,20 +254,24 @@ def leaked_items(documents: DataFrame, items: DataFrame, id_col: str = "doc_id",
         def run(batches: Iterator[pd.DataFrame], listed: tuple[tuple[int, str], ...] = listed) -> Iterator[pd.DataFrame]:
             index = _index(listed)
             for batch in batches:
-                texts = [plain_words(t) for t in batch["t"]]
                 ids = batch["d"].to_numpy()
+                texts = [plain_words(t) for t in batch["t"]]
+                numbers = [index.numbers(words) for words in texts]
                 found: list[tuple[int, int]] = []
-                last, places, held = -1, {}, set()
-                for d, number in sorted(index.candidates(texts) | index.sharing(texts)):
+                last, places = -1, {}
+                for d, number in index.candidates(numbers):
+                    if not index.alike(numbers[d], number):
+                        continue
                     if d != last:
                         last, places = d, defaultdict(list)
                         for k, w in enumerate(texts[d]):
                             if w in index.vocabulary:
                                 places[w].append(k)
-                        held = set(places)
-                    if len(index.sets[number] & held) >= index.least[number] and holds_stretch(texts[d], places, index.words[number]):
+                    if holds_stretch(texts[d], places, index.words[number]):
                         found.append((index.ids[number], int(ids[d])))
                 yield pd.DataFrame(found, columns=[item_col, id_col], dtype="int64")
 
-        passes.append(map_batches(docs, run, f"`{item_col}` bigint, `{id_col}` bigint"))
+        part = map_batches(docs, run, f"`{item_col}` bigint, `{id_col}` bigint")
+        # With several shards each is worked off before the next is fetched: the driver holds one at a time.
+        passes.append(cut_lineage(part) if shards > 1 else part)
     return reduce(DataFrame.unionByName, passes).distinct()

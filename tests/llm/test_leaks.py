@@ -1,10 +1,9 @@
 import random
 
-import numpy as np
 import pytest
 
 from roadloom.llm import leaks
-from roadloom.llm.leaks import NEEDED, SPAN, STRETCH, ItemIndex, holds_stretch, leaked_items, plain_words
+from roadloom.llm.leaks import NEEDED, SPAN, STRETCH, holds_stretch, leaked_items, plain_words
 
 RNG = random.Random(5)
 WORDS = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "tu") for b in ("ren", "sol", "dat", "vik") for c in ("a", "o", "is", "um")]
@@ -60,14 +59,6 @@ def test_the_exact_check_is_brute_force():
             assert holds_stretch(words, places, passage) == brute(words, passage)
 
 
-def test_blocks_find_all_within_the_radius():
-    index = ItemIndex(tuple((i, " ".join(p)) for i, p in PASSAGES.items()))
-    prints = np.array([p ^ np.uint64(sum(1 << b for b in RNG.sample(range(64), RNG.randrange(0, 5)))) for p in index.prints], np.uint64)
-    at, items = index.meetings(prints)
-    expected = {(i, int(o)) for i, p in enumerate(prints) for q, o in zip(index.prints, index.owners) if (int(p) ^ int(q)).bit_count() <= leaks.RADIUS}
-    assert set(zip(at.tolist(), items.tolist())) == expected
-
-
 @pytest.mark.parametrize("shard", [5_000, 4])
 def test_operator_against_brute_force(spark, monkeypatch, shard):
     monkeypatch.setattr(leaks, "SHARD_ITEMS", shard)
@@ -79,7 +70,7 @@ def test_operator_against_brute_force(spark, monkeypatch, shard):
 
 
 def test_long_text_and_empty_tables(spark, monkeypatch):
-    monkeypatch.setattr(leaks, "CHUNK_WORDS", 500)
+    monkeypatch.setattr(leaks, "CHUNK_ROWS", 500)
     long = sentence(20_000) + PASSAGES[3] + sentence(20_000)
     docs = spark.createDataFrame([(1, " ".join(long))], "doc_id bigint, text string")
     items = spark.createDataFrame([(3, " ".join(PASSAGES[3]))], "item_id bigint, passage string")
