@@ -1,21 +1,21 @@
 """Records that fail to parse: valid ones load on a fast columnar path, broken ones come out with the reason.
 
-Records meet the header of their file by a join (never grouped by file) and are handled in blocks of equal header. A block
-is parsed and checked column by column in one go. Where anything in it fails, it is halved, again and again, until what is
-left parses or is down to a few records, which are then diagnosed strictly, one by one. The bulk checks are never looser
-than the strict ones, so the result does not depend on how records fall into blocks.
+Records meet the header of their file by a join (never grouped by file). A block of them, of whatever files, is parsed and
+checked column by column in one go. Where anything in it fails, it is halved, again and again, until what is left is clean
+or a single record, which is then diagnosed strictly. The bulk checks are never looser than the strict ones, so the result
+does not depend on how records fall into blocks.
 """
 
 from __future__ import annotations
 
+import csv
 import re
 from collections.abc import Iterator
-from io import BytesIO
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.csv as pacsv
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +25,6 @@ from roadloom.operators.drift import WIDE_FIELDS, field_of
 from roadloom.schema import field_keys, loose
 from roadloom.session import map_batches
 
-#: Blocks of at most this many records are diagnosed strictly at once instead of being halved further.
-STRICT_BLOCK = 4
-
 #: Boolean tokens, null tokens included.
 BOOLEANS = frozenset((*TRUE_TOKENS, *FALSE_TOKENS, *NULL_TOKENS))
 
@@ -44,9 +41,9 @@ _UNIX = re.compile(r"\d{10}(?:\.\d{1,6})?|\d{13}", re.ASCII)
 MAX_OFFSET_MINUTES = 14 * 60
 
 _BULK_CLOCK = r"(?:[01]?\d|2[0-3]):[0-5]\d:[0-5]\d(?:\.\d{1,6})?"
-_BULK_MD = r"(?:(?:0[1-9]|1[0-2])-(?:0[1-9]|1\d|2[0-8]))"
-_BULK_DM = r"(?:(?:0?[1-9]|1\d|2[0-8])/(?:0?[1-9]|1[0-2]))"
-#: Times that are certainly real; the 29th to 31st of a month are left to the strict test.
+_BULK_MD = r"(?:(?:0[1-9]|1[0-2])-(?:0[1-9]|1\d|2[0-8])|(?:0[13-9]|1[0-2])-(?:29|30)|(?:0[13578]|1[02])-31)"
+_BULK_DM = r"(?:(?:0?[1-9]|1\d|2[0-8])/(?:0?[1-9]|1[0-2])|(?:29|30)/(?:0?[13-9]|1[0-2])|31/(?:0?[13578]|1[02]))"
+#: Times that are certainly real; the 29th of February is left to the strict test.
 _BULK_TIME = (
     rf"^(?:(?:20|19)\d\d-{_BULK_MD}T{_BULK_CLOCK}(?:Z|[+-](?:0\d|1[0-3]):?[0-5]\d)?|{_BULK_DM}/(?:20|19)\d\d {_BULK_CLOCK}"
     rf"|(?:20|19)\d\d-{_BULK_MD} {_BULK_CLOCK}|\d{{10}}(?:\.\d{{1,6}})?|\d{{13}})$"
@@ -131,39 +128,6 @@ class Layout:
                 return reason, None
         return None, fields
 
-    def bulk(self, records: list[str]) -> list[list[str]] | None:
-        """Fields of all records, where every one is certainly valid; else none."""
-        if self.names is None:
-            return None
-        text = "\n".join(records)
-        if '"' in text and not pc.all(pc.match_substring_regex(pa.array(records), _BULK_RECORD)).as_py():
-            return None
-        if "" in records:
-            return None
-        data = text.encode()
-        try:
-            table = pacsv.read_csv(
-                BytesIO(data),
-                read_options=pacsv.ReadOptions(autogenerate_column_names=True, use_threads=False, block_size=max(len(data) + 1, 1024)),
-                parse_options=pacsv.ParseOptions(newlines_in_values=True, ignore_empty_lines=False),
-                convert_options=pacsv.ConvertOptions(column_types={f"f{i}": pa.string() for i in range(len(self.names))}, strings_can_be_null=False),
-            )
-        except pa.ArrowInvalid:
-            return None
-        if table.num_rows != len(records) or table.num_columns != len(self.names):
-            return None
-        nulls = pa.array(NULL_TOKENS)
-        for at, test in (
-            (self.times, lambda c: pc.match_substring_regex(c, _BULK_TIME)),
-            (self.lanes, lambda c: pc.match_substring_regex(c, f"^{_LANE}$")),
-            (self.flags, lambda c: pc.is_in(c, pa.array(sorted(BOOLEANS)))),
-        ):
-            for i in at:
-                column = pc.utf8_trim_whitespace(table.column(i))
-                if not pc.all(pc.or_(pc.is_in(column, nulls), test(column))).as_py():
-                    return None
-        return [list(row) for row in zip(*(c.to_pylist() for c in table.columns))]
-
 
 def _content(record: str | None) -> str:
     """Without the carriage return (or line end) that ends it."""
@@ -171,54 +135,97 @@ def _content(record: str | None) -> str:
     return record[:-1] if record.endswith("\r") else record.removesuffix("\r\n").removesuffix("\n")
 
 
-def parse_block(layout: Layout, records: list[str]) -> list[tuple[str | None, list[str] | None]]:
-    """(reason, fields) of every record: in bulk where that succeeds, else by halves."""
-    out: list[tuple[str | None, list[str] | None]] = [(None, None)] * len(records)
+class Bulk:
+    """Records parsed and checked as columns in one go: which are certainly valid, and their fields.
+
+    ``suspects`` counts, up to each record, those that a check does not let pass. A block of records is clean if its count
+    is zero, so it can be halved and tested again without parsing anything twice.
+    """
+
+    def __init__(self, layouts: list[Layout], records: list[str]):
+        good = pc.match_substring_regex(pa.array(records, pa.string()), _BULK_RECORD).to_numpy(zero_copy_only=False) & np.array([r != "" for r in records], bool)
+        formed = np.flatnonzero(good).tolist()
+        csv.field_size_limit(2**31 - 1)
+        rows = list(csv.reader([records[i] for i in formed]))
+        if len(rows) != len(formed):  # can't be, as every one of them is a whole record
+            formed, rows, good = [], [], np.zeros(len(records), bool)
+        self.fields: list[list[str] | None] = [None] * len(records)
+        checked: dict[str, tuple[list[int], list[str]]] = {"times": ([], []), "lanes": ([], []), "flags": ([], [])}
+        for i, row in zip(formed, rows):
+            layout = layouts[i]
+            if layout.names is None or len(row) != len(layout.names):
+                good[i] = False
+                continue
+            self.fields[i] = row
+            for what, (at, values) in checked.items():
+                for k in getattr(layout, what):
+                    at.append(i)
+                    values.append(row[k].strip())
+        for what, test in (
+            ("times", lambda c: pc.match_substring_regex(c, _BULK_TIME)),
+            ("lanes", lambda c: pc.match_substring_regex(c, f"^{_LANE}$")),
+            ("flags", lambda c: pc.is_in(c, pa.array(sorted(BOOLEANS)))),
+        ):
+            at, values = checked[what]
+            column = pa.array(values, pa.string())
+            passed = pc.or_(pc.is_in(column, pa.array(NULL_TOKENS)), test(column)).to_numpy(zero_copy_only=False)
+            good[np.array(at, np.int64)[~passed]] = False
+        self.suspects = np.concatenate([[0], np.cumsum(~good)])
+
+    def clean(self, a: int, b: int) -> bool:
+        return self.suspects[a] == self.suspects[b]
+
+
+def parse_mixed(layouts: list[Layout], records: list[str]) -> list[tuple[str | None, list[str] | None]]:
+    """(reason, fields) of every record, each under its own layout: clean blocks as they were parsed in bulk, failing ones
+    by halves, down to the single records, which are diagnosed strictly."""
+    bulk = Bulk(layouts, records)
+    out: list[tuple[str | None, list[str] | None]] = [(None, f) for f in bulk.fields]
     todo = [(0, len(records))]
     while todo:
         a, b = todo.pop()
-        if b - a <= STRICT_BLOCK:
-            out[a:b] = [layout.diagnose(r) for r in records[a:b]]
+        if bulk.clean(a, b):
             continue
-        fields = layout.bulk(records[a:b])
-        if fields is not None:
-            out[a:b] = [(None, f) for f in fields]
+        if b - a == 1:
+            out[a] = layouts[a].diagnose(records[a])
         else:
             middle = (a + b) // 2
             todo += [(a, middle), (middle, b)]
     return out
 
 
-def parse_records(df: DataFrame) -> DataFrame:
+def parse_block(layout: Layout, records: list[str]) -> list[tuple[str | None, list[str] | None]]:
+    """(reason, fields) of every record of one layout."""
+    return parse_mixed([layout] * len(records), records)
+
+
+def parse_records(df: DataFrame, with_fields: bool = True) -> DataFrame:
     """(line_id, file_name, kind, line_no, reason, names, fields): every record but the headers, once each.
 
     ``reason`` is null for valid records, whose ``fields`` are then the texts under ``names`` (the header of the file);
     else it is the first that applies of ``quoting``, ``columns``, ``timestamp``, ``lane`` and ``ignore``. A null record
     counts as an empty one. A file without a header has no layout: its records are ``quoting`` or ``columns``. Of several
     headers of a file the one of the smallest ``line_id`` holds. ``kind`` other than ``lmd`` or ``fixes``: layout only.
-    Repeated records are kept, empty tables give empty ones, further columns are not carried on.
+    Repeated records are kept, empty tables give empty ones, further columns are not carried on. Without ``with_fields``
+    the last two columns are left out, for reports that need the reasons alone.
     """
     headers = df.where("line_no = 1 and file_name is not null").groupBy("file_name").agg(F.min_by("record_text", "line_id").alias("__header"))
     rows = df.where("line_no is null or line_no <> 1").select("line_id", "file_name", "kind", "line_no", "record_text")
     joined = lookup_join(rows, headers, ["file_name"]).select("line_id", "file_name", "kind", "line_no", "record_text", "__header")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        layouts: dict[tuple[str | None, str | None], Layout] = {}
+        known: dict[tuple[str | None, str | None], Layout] = {}
         for batch in batches:
             header = batch["__header"].astype(object).where(batch["__header"].notna(), None)
             kind = batch["kind"].astype(object).where(batch["kind"].notna(), None)
-            out = {"reason": [None] * len(batch), "names": [None] * len(batch), "fields": [None] * len(batch)}
-            blocks: dict[tuple[str | None, str | None], list[int]] = {}
-            for i, key in enumerate(zip(header, kind)):
-                blocks.setdefault(key, []).append(i)
-            texts = batch["record_text"].tolist()
-            for key, at in blocks.items():
-                layout = layouts.get(key) or layouts.setdefault(key, Layout(key[0], key[1] or ""))
-                for i, (reason, fields) in zip(at, parse_block(layout, [_content(texts[i] if isinstance(texts[i], str) else "") for i in at])):
-                    out["reason"][i], out["fields"][i], out["names"][i] = reason, fields, layout.names
-            yield pd.DataFrame({"line_id": batch["line_id"], "file_name": batch["file_name"], "kind": batch["kind"], "line_no": batch["line_no"], **out})
-
-    schema = "line_id bigint, file_name string, kind string, line_no int, reason string, names array<string>, fields array<string>"
+            layouts = [known.get(key) or known.setdefault(key, Layout(key[0], key[1] or "")) for key in zip(header, kind)]
+            judged = parse_mixed(layouts, [_content(t if isinstance(t, str) else "") for t in batch["record_text"]])
+            out = {"line_id": batch["line_id"], "file_name": batch["file_name"], "kind": batch["kind"], "line_no": batch["line_no"], "reason": [r for r, _ in judged]}
+            if with_fields:
+                out |= {"names": [x.names for x in layouts], "fields": [f for _, f in judged]}
+            yield pd.DataFrame(out)
+
+    schema = "line_id bigint, file_name string, kind string, line_no int, reason string" + (", names array<string>, fields array<string>" if with_fields else "")
     return map_batches(joined, run, schema)
 
 

@@ -45,7 +45,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rejected_records(parse_records(table(spark, sf_dir, "raw_lines")))
+    return rejected_records(parse_records(table(spark, sf_dir, "raw_lines"), with_fields=False))
 
 
 def p3_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
