@@ -2,10 +2,10 @@
 
 Each file gets a fingerprint: which field stands there under which name and with which JSON type. Fingerprints come from
 one map-side combined aggregation over (feed, file, name), so rows are never gathered by feed; all further steps work on
-these summaries. Successive fingerprints of a feed differ by explicit steps - add, remove, rename, retype - and a run of
-equal fingerprints is one version. ``whole_table`` reads a row by the steps of its own file's version, which are a table
-(``reading_steps``): rename to the field, default where the version lacks it, cast and factor of the unit. ``unified_table``
-only brings fields under one name: its values are texts as written, chainages in the unit of their file.
+these summaries. A run of equal fingerprints is one version of the feed's schema. Versions follow each other by explicit
+steps - added, removed, renamed, retyped - which are a table (``migration_steps``) and the report of all changes. How rows
+are read is a table too (``reading_steps``): rename to the field, default where the version lacks it, cast and factor of
+the unit. Every row is routed through the steps of its own file's version, in place: no row is moved or taken apart.
 """
 
 from __future__ import annotations
@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from roadloom.common import NULL_TOKENS
+from roadloom.common import NULL_TOKENS, fresh, lookup_join
 from roadloom.functions.scalars import parse_boolean
 from roadloom.schema import ALIASES, KILOMETRE_NAMES, field_keys, loose
+from roadloom.session import cut_lineage
 
 _FILE = ["feed", "file_seq"]
 
@@ -24,6 +25,7 @@ _FILE = ["feed", "file_seq"]
 WIDE_FIELDS = (*ALIASES, "BinViewerVersion", "tsdSlope2000", "compositeModulus200")
 #: How fields are cast; all others stay text. Times do too: feeds name no zone and no order of day and month.
 CASTS = {"Chainage": "metres", "StartChainage": "number", "EndChainage": "number", "Ignore": "flag", "tsdSlope2000": "number", "compositeModulus200": "number"}
+_NUMBER_TYPES = "^(BIGINT|DOUBLE|DECIMAL|FLOAT|INT|SMALLINT|TINYINT)"
 _NUMBER = r"^([+-]?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:[.][0-9]+)?(?:[eE][+-]?[0-9]{1,3})?) ?([kK]?[mM])?$"
 
 
@@ -42,7 +44,7 @@ def json_pairs(df: DataFrame, payload: str = "payload") -> DataFrame:
         F.when(kind == "VOID", F.lit(None))
         .when(kind == "STRING", "string")
         .when(kind == "BOOLEAN", "boolean")
-        .when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT|INT|SMALLINT|TINYINT)"), "number")
+        .when(kind.rlike(_NUMBER_TYPES), "number")
         .otherwise("other")
     )
     parsed = parsed.where(F.schema_of_variant("__json").startswith("OBJECT"))
@@ -54,17 +56,17 @@ def spark_variant_explode(df: DataFrame) -> DataFrame:
     return df.sparkSession.tvf.variant_explode(F.col("__json").outer()).toDF("__pos", "__key", "__value")
 
 
-def schema_versions(df: DataFrame) -> DataFrame:
-    """(feed, file_seq, field, name, kind, n): the summary of every file that all other results are made from.
+def file_names(df: DataFrame) -> DataFrame:
+    """(feed, file_seq, name, kind, n, field): how often each file has each name with each JSON type. All else is made from this.
 
-    A file has the fields that any of its rows has. Where a field stands under several names in one file, the most used
-    name counts (ties: the first by alphabet), and likewise its kind; a field that is null throughout has no kind. Rows
-    without feed or number of file have no place in a sequence and are left out; payloads that are no JSON object have no
-    fields. Duplicate rows change nothing but counts.
+    One map-side combined aggregation. Rows without feed or number of file have no place in a sequence and are left out.
     """
     rows = df.where("feed is not null and file_seq is not null").select(*_FILE, "payload")
     names = json_pairs(rows).groupBy(*_FILE, "name", "kind").agg(F.count(F.lit(1)).alias("n"))
-    names = names.withColumn("field", field_of(F.col("name")))
+    return names.withColumn("field", field_of(F.col("name")))
+
+
+def _versions_of(names: DataFrame) -> DataFrame:
     by_name = names.groupBy(*_FILE, "field", "name").agg(F.sum("n").alias("n"))
     named = by_name.groupBy(*_FILE, "field").agg(F.min_by("name", F.struct(-F.col("n"), F.col("name"))).alias("name"), F.sum("n").alias("n"))
     by_kind = names.where("kind is not null").groupBy(*_FILE, "field", "kind").agg(F.sum("n").alias("n"))
@@ -72,56 +74,61 @@ def schema_versions(df: DataFrame) -> DataFrame:
     return named.join(kinds, [*_FILE, "field"], "left").select(*_FILE, "field", "name", "kind", "n")
 
 
-def schema_changes(df: DataFrame) -> DataFrame:
-    """(feed, file_seq, change, old_name, new_name): every change of a file against the one before it in its feed.
+def schema_versions(df: DataFrame) -> DataFrame:
+    """(feed, file_seq, field, name, kind, n): the schema of every file.
 
-    ``added`` and ``removed`` (the other name empty), ``renamed`` (same field, other name), ``retyped`` (both names the
-    present one: its kind differs from that in the last earlier file where it had any). The first file has no changes.
+    A file has the fields that any of its rows has. Where a field stands under several names in one file, the most used
+    name counts (ties: the first by alphabet), and likewise its kind; a field that is null throughout has no kind. Rows
+    without feed or number of file are left out; payloads that are no JSON object have no fields. Duplicate rows change
+    nothing but counts.
     """
-    files = df.where("feed is not null and file_seq is not null").select(*_FILE).distinct()
-    follows = files.withColumn("next_seq", F.lead("file_seq").over(W.partitionBy("feed").orderBy("file_seq"))).where("next_seq is not null")
-    versions = schema_versions(df)
-    before = versions.join(follows, _FILE).select("feed", F.col("next_seq").alias("file_seq"), "field", F.col("name").alias("old"))
-    now = versions.join(follows.select("feed", F.col("next_seq").alias("file_seq")), _FILE).select(*_FILE, "field", F.col("name").alias("new"))
-    both = before.join(now, [*_FILE, "field"], "full")
-    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "renamed")
-    named = both.select(*_FILE, change.alias("change"), F.coalesce("old", F.lit("")).alias("old_name"), F.coalesce("new", F.lit("")).alias("new_name"))
-    last = F.lag("kind").over(W.partitionBy("feed", "field").orderBy("file_seq"))
-    typed = versions.where("kind is not null").withColumn("last", last).where("last <> kind")
-    retyped = typed.select(*_FILE, F.lit("retyped").alias("change"), F.col("name").alias("old_name"), F.col("name").alias("new_name"))
-    return named.where("change is not null").unionByName(retyped)
+    return _versions_of(file_names(df))
 
 
-def version_fingerprints(df: DataFrame) -> DataFrame:
-    """(feed, file_seq, version, fingerprint): files of a feed with the same names and kinds in a row share a version."""
-    versions = schema_versions(df)
-    prints = versions.groupBy(*_FILE).agg(F.md5(F.to_json(F.sort_array(F.collect_list(F.struct("field", "name", "kind"))))).alias("fingerprint"))
+def _files(df: DataFrame) -> DataFrame:
+    return df.where("feed is not null and file_seq is not null").select(*_FILE).distinct()
+
+
+def _fingerprints_of(schemas: DataFrame, files: DataFrame) -> DataFrame:
+    entry = F.struct("field", "name", "kind")
+    every = files.join(schemas, _FILE, "left")
+    prints = every.groupBy(*_FILE).agg(F.md5(F.to_json(F.sort_array(F.collect_list(F.when(F.col("field").isNotNull(), entry))))).alias("fingerprint"))
     w = W.partitionBy("feed").orderBy("file_seq")
-    fresh = F.when(F.lag("fingerprint").over(w).eqNullSafe(F.col("fingerprint")), 0).otherwise(1)
-    return prints.withColumn("__new", fresh).withColumn("version", F.sum("__new").over(w).cast("int")).select(*_FILE, "version", "fingerprint")
+    fresh_one = F.when(F.lag("fingerprint").over(w).eqNullSafe(F.col("fingerprint")), 0).otherwise(1)
+    return prints.withColumn("__new", fresh_one).withColumn("version", F.sum("__new").over(w).cast("int")).select(*_FILE, "version", "fingerprint")
 
 
-def unified_values(df: DataFrame, id_col: str = "feed_row_id") -> DataFrame:
-    """(``id_col``, feed, file_seq, field, value, kind): all values of all rows under their fields, nulls left out.
+def version_fingerprints(df: DataFrame) -> DataFrame:
+    """(feed, file_seq, version, fingerprint): files of a feed with the same names and kinds in a row share a version; one without fields is a version too."""
+    return _fingerprints_of(schema_versions(df), _files(df))
+
+
+def migration_steps(df: DataFrame) -> DataFrame:
+    """(feed, version, file_seq, field, change, old_name, new_name, old_kind, new_kind): what leads from each version of a feed to the next.
 
-    ``kind`` is the one kind of the field over all feeds and files: its own where it never changed, else ``string``; the
-    text of a value is that of its JSON (numbers without trailing ``.0``, booleans ``true`` and ``false``). A row that
-    holds one field under two names keeps the non-null value of the first name by alphabet.
+    ``file_seq`` is the first file of the version. ``added`` and ``removed`` (the other name empty), ``renamed`` (same field,
+    other name), ``retyped`` (both names the present one: its kind differs from that in the last earlier version where it
+    had any). Only versions are compared, not files: as long as the fingerprint stays the same nothing has changed. The
+    first version has no steps.
     """
-    rows = df.where("feed is not null and file_seq is not null").select(id_col, *_FILE, "payload")
-    pairs = json_pairs(rows).withColumn("field", field_of(F.col("name"))).where("kind is not null")
-    kinds = schema_versions(df).where("kind is not null").groupBy("field").agg(F.min("kind").alias("a"), F.max("kind").alias("b"))
-    kinds = kinds.select("field", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise("string").alias("as_kind"))
-    text = F.when(F.col("kind") == "number", F.regexp_replace("value", r"\.0+$", "")).otherwise(F.col("value"))
-    values = pairs.withColumn("value", text).groupBy(id_col, *_FILE, "field").agg(F.min_by("value", "name").alias("value"))
-    return values.join(kinds, "field").select(id_col, *_FILE, "field", "value", F.col("as_kind").alias("kind"))
+    schemas = cut_lineage(schema_versions(df))
+    versions = _fingerprints_of(schemas, _files(df)).groupBy("feed", "version").agg(F.min("file_seq").alias("file_seq"))
+    versions = cut_lineage(versions)
+    fields = versions.join(schemas, _FILE).select("feed", "version", "field", "name", "kind")
+    before = fields.select("feed", (F.col("version") + 1).alias("version"), "field", F.col("name").alias("old"), F.col("kind").alias("old_kind"))
+    both = before.join(fields.withColumnsRenamed({"name": "new", "kind": "new_kind"}), ["feed", "version", "field"], "full")
+    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "renamed")
+    named = both.select("feed", "version", "field", change.alias("change"), F.coalesce("old", F.lit("")).alias("old_name"), F.coalesce("new", F.lit("")).alias("new_name"), "old_kind", "new_kind")
+    last = F.lag("kind").over(W.partitionBy("feed", "field").orderBy("version"))
+    typed = fields.where("kind is not null").withColumn("old_kind", last).where("old_kind <> kind")
+    retyped = typed.select("feed", "version", "field", F.lit("retyped").alias("change"), F.col("name").alias("old_name"), F.col("name").alias("new_name"), "old_kind", F.col("kind").alias("new_kind"))
+    steps = named.where("change is not null and version > 1").unionByName(retyped)
+    return steps.join(versions, ["feed", "version"]).select("feed", "version", "file_seq", "field", "change", "old_name", "new_name", "old_kind", "new_kind")
 
 
-def unified_table(df: DataFrame, fields: list[str], id_col: str = "feed_row_id") -> DataFrame:
-    """One consistent table: ``id_col``, feed, file_seq, the version of the row's file and a text column per wanted field."""
-    wide = unified_values(df, id_col).groupBy(id_col, *_FILE).pivot("field", fields).agg(F.first("value"))
-    every = df.where("feed is not null and file_seq is not null").select(id_col, *_FILE)
-    return every.join(wide, [id_col, *_FILE], "left").join(version_fingerprints(df).drop("fingerprint"), _FILE, "left")
+def schema_changes(df: DataFrame) -> DataFrame:
+    """(feed, file_seq, change, old_name, new_name): every change of a file against the one before it in its feed, from ``migration_steps``."""
+    return migration_steps(df).select(*_FILE, "change", "old_name", "new_name")
 
 
 def _field_key(field: str) -> str:
@@ -129,32 +136,38 @@ def _field_key(field: str) -> str:
     return field_keys().get(loose(field), loose(field))
 
 
+def _rule(name: Column, casts: dict[str, str]) -> Column:
+    """How a name is read: the field it stands for, the cast, and the exponent of ten (3 for chainages under a name in kilometres, else 0)."""
+    field = field_of(name)
+    labels = F.create_map(*[F.lit(x) for f in WIDE_FIELDS for x in (_field_key(f), f)])
+    label = F.coalesce(F.try_element_at(labels, field), field)
+    cast = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in casts.items() for x in p]), field), F.lit("text")) if casts else F.lit("text")
+    far = (field == "Chainage") & F.lower(F.regexp_replace(name, r"[\s_-]", "")).isin(*{loose(n) for n in KILOMETRE_NAMES})
+    return F.struct(label.alias("field"), cast.alias("cast"), F.when(far, 3).otherwise(0).alias("exponent"))
+
+
 def reading_steps(df: DataFrame, casts: dict[str, str] = CASTS, defaults: dict[str, str] | None = None) -> DataFrame:
     """(feed, version, field, old_name, new_name, default, cast, exponent): how each version of each feed is read.
 
     One row per name that stands in a file of the version: it is renamed to ``new_name``, cast, and multiplied by ten to
-    the ``exponent`` (3 for chainages under a name in kilometres, else 0). One row without ``old_name`` per field of
-    ``defaults`` that no file of the version has. Steps lead from a version straight to the one common schema: through the
-    versions between, renames and factors would cancel out, and a field removed later would be lost on the way.
-    Rows without feed or number of file are read by steps without a version.
+    the ``exponent``. One row without ``old_name`` per field of ``defaults`` that no file of the version has. Steps lead
+    from a version straight to the one common schema: through the versions between, renames and factors would cancel out,
+    and a field removed later would be lost on the way.
     """
-    versions = version_fingerprints(df).drop("fingerprint")
-    names = json_pairs(df.select(*_FILE, "payload")).select(*_FILE, "name").distinct().join(versions, _FILE, "left")
-    names = names.select("feed", "version", "name").distinct().withColumn("field", field_of(F.col("name")))
-    shown = {_field_key(f): f for f in WIDE_FIELDS}
-    label = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in shown.items() for x in p]), "field"), F.col("field"))
-    cast = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in casts.items() for x in p]), "field"), F.lit("text"))
-    bare = F.lower(F.regexp_replace("name", r"[\s_-]", ""))
-    far = (F.col("field") == "Chainage") & bare.isin(*{loose(n) for n in KILOMETRE_NAMES})
-    steps = names.withColumn("field", label).select(
-        "feed", "version", "field", F.col("name").alias("old_name"), F.col("field").alias("new_name"), F.lit(None).cast("string").alias("default"),
-        cast.alias("cast"), F.when(far, 3).otherwise(0).alias("exponent"),
+    names = cut_lineage(file_names(df))
+    return _steps_of(names, _fingerprints_of(_versions_of(names), _files(df)), casts, defaults)
+
+
+def _steps_of(names: DataFrame, versions: DataFrame, casts: dict[str, str], defaults: dict[str, str] | None) -> DataFrame:
+    found = names.select(*_FILE, "name").join(versions.drop("fingerprint"), _FILE).select("feed", "version", "name").distinct()
+    steps = found.withColumn("rule", _rule(F.col("name"), casts)).select(
+        "feed", "version", F.col("rule.field").alias("field"), F.col("name").alias("old_name"), F.col("rule.field").alias("new_name"),
+        F.lit(None).cast("string").alias("default"), "rule.cast", "rule.exponent",
     )
     for field, default in (defaults or {}).items():
         has = steps.where(F.col("old_name").isNotNull()).groupBy("feed", "version").agg(F.max(F.col("field") == field).alias("__has"))
-        every = df.select(*_FILE).distinct().join(versions, _FILE, "left").select("feed", "version").distinct()
-        same = every["feed"].eqNullSafe(has["feed"]) & every["version"].eqNullSafe(has["version"])
-        lacking = every.join(has, same, "left").where(~F.coalesce("__has", F.lit(False))).select(every["feed"], every["version"])
+        every = versions.select("feed", "version").distinct()
+        lacking = every.join(has, ["feed", "version"], "left").where(~F.coalesce("__has", F.lit(False)))
         added = lacking.select(
             "feed", "version", F.lit(field).alias("field"), F.lit(None).cast("string").alias("old_name"), F.lit(field).alias("new_name"),
             F.lit(default).alias("default"), F.lit(casts.get(field, "text")).alias("cast"), F.lit(0).alias("exponent"),
@@ -169,51 +182,111 @@ def _scaled(number: Column, exponent: Column) -> Column:
     return F.when(number.rlike("[eE]"), number.try_cast("double") * F.pow(F.lit(10.0), exponent)).otherwise(plain)
 
 
-def _cast_number(text: Column, cast: Column, exponent: Column) -> Column:
+def _cast_number(text: Column, cast: str, exponent: Column) -> Column:
     """Double of a text; metres may be written with their unit, which goes before that of the name."""
     digits = F.regexp_replace(F.regexp_extract(text, _NUMBER, 1), ",", "")
     unit = F.lower(F.regexp_extract(text, _NUMBER, 2))
     power = F.when(unit == "km", 3).when(unit == "m", 0).otherwise(exponent)
-    return F.when(text.rlike(_NUMBER) & ((unit == "") | (cast == "metres")), _scaled(digits, power))
+    return F.when(text.rlike(_NUMBER) & ((unit == "") | F.lit(cast == "metres")), _scaled(digits, power))
+
+
+def _routed(df: DataFrame, id_col: str, casts: dict[str, str], defaults: dict[str, str] | None = None) -> tuple[DataFrame, str, str]:
+    """All rows of ``df`` with their version and their values, read by the steps of it; (table, name of the map, name of the sorted entries).
+
+    The steps of a file are one row (a map of its names), which meets the file's rows in a join of measured size: rows are
+    not taken apart, moved or put together again. The map has field to (text, exponent), the entries (field, text).
+    """
+    (rules, extra, version, found, read, by_field) = fresh("rules", "extra", "version", "found", "read", "by_field")
+    names = cut_lineage(file_names(df))
+    versions = cut_lineage(_fingerprints_of(_versions_of(names), _files(df)).drop("fingerprint"))
+    steps = _steps_of(names, versions, casts, defaults)
+    value = F.struct(F.col("new_name").alias("field"), "cast", "exponent")
+    lacking = F.struct(F.lit("").alias("name"), F.col("new_name").alias("field"), F.col("default").alias("value"), F.col("exponent").alias("exponent"))
+    per_version = steps.groupBy("feed", "version").agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("old_name").isNotNull(), F.struct("old_name", value.alias("v")))))).alias(rules),
+        F.sort_array(F.collect_list(F.when(F.col("old_name").isNull(), lacking))).alias(extra),
+    )
+    per_file = versions.join(per_version, ["feed", "version"], "left").select(*_FILE, F.col("version").alias(version), rules, extra)
+    rows = lookup_join(df.select(id_col, *_FILE, "payload"), per_file, _FILE)
+    pairs = F.map_entries(F.try_variant_get(F.try_parse_json(F.col("payload")), "$", "map<string,variant>"))
+
+    def one(e: Column) -> Column:
+        kind = F.schema_of_variant(e["value"])
+        text = F.try_variant_get(e["value"], "$", "string")
+        number = kind.rlike(_NUMBER_TYPES)
+        rule = F.coalesce(F.try_element_at(F.col(rules), e["key"]), _rule(e["key"], casts))  # rows without a file have no steps
+        return F.when(
+            kind != "VOID",
+            F.struct(e["key"].alias("name"), rule["field"].alias("field"), F.when(number, F.regexp_replace(text, r"\.0+$", "")).otherwise(text).alias("value"), rule["exponent"].alias("exponent")),
+        )
+
+    own = F.col(extra)
+    if defaults:
+        # A row without a file is a version of its own.
+        given = F.array(*[F.struct(F.lit("").alias("name"), F.lit(f).alias("field"), F.lit(v).alias("value"), F.lit(0).alias("exponent")) for f, v in defaults.items()])
+        has = lambda f: F.coalesce(F.exists(pairs, lambda e: _rule(e["key"], casts)["field"] == f), F.lit(False))
+        own = F.when(F.col(rules).isNull(), F.filter(given, lambda e: ~has(e["field"]))).otherwise(own)
+    # Of one field under two names the first name by alphabet counts.
+    rows = rows.withColumn(found, F.array_sort(F.concat(F.array_compact(F.transform(F.coalesce(pairs, F.array()), one)), F.coalesce(own, F.array()))))
+    first = lambda e, i: ~F.exists(F.slice(F.col(found), F.lit(1), i), lambda x: x["field"] == e["field"])
+    rows = rows.withColumn(read, F.filter(found, first))
+    rows = rows.withColumn(by_field, F.map_from_entries(F.transform(read, lambda e: F.struct(e["field"].alias("key"), F.struct(e["value"].alias("value"), e["exponent"].alias("exponent")).alias("v")))))
+    return rows.withColumnRenamed(version, "version").drop(rules, extra, found, "payload"), by_field, read
+
+
+def _text_map(entries: Column) -> Column:
+    return F.map_from_entries(F.sort_array(F.transform(entries, lambda e: F.struct(e["field"].alias("key"), e["value"].alias("value")))))
+
+
+def unified_values(df: DataFrame, id_col: str = "feed_row_id") -> DataFrame:
+    """(``id_col``, feed, file_seq, field, value, kind): all values of all rows under their fields, nulls left out.
+
+    ``kind`` is the one kind of the field over all feeds and files: its own where it never changed, else ``string``. Rows
+    without feed or number of file are left out.
+    """
+    listed = df.where("feed is not null and file_seq is not null")
+    rows, _, read = _routed(listed, id_col, {})
+    kinds = schema_versions(listed).where("kind is not null").groupBy("field").agg(F.min("kind").alias("a"), F.max("kind").alias("b"))
+    labels = F.create_map(*[F.lit(x) for f in WIDE_FIELDS for x in (_field_key(f), f)])
+    kinds = kinds.select(F.coalesce(F.try_element_at(labels, "field"), "field").alias("field"), F.when(F.col("a") == F.col("b"), F.col("a")).otherwise("string").alias("kind"))
+    values = rows.select(id_col, *_FILE, F.explode(read).alias("v")).select(id_col, *_FILE, "v.field", "v.value")
+    return lookup_join(values, kinds, ["field"]).select(id_col, *_FILE, "field", "value", "kind")
+
+
+def unified_table(df: DataFrame, fields: list[str], id_col: str = "feed_row_id") -> DataFrame:
+    """One consistent table: feed, file_seq, ``id_col``, a column per wanted field, and the version of the row's file.
+
+    Values are texts as written (numbers without trailing ``.0``, booleans ``true`` and ``false``). Rows without feed or
+    number of file are left out. A row that holds one field under two names keeps the non-null value of the first name by alphabet.
+    """
+    rows, by_field, _ = _routed(df.where("feed is not null and file_seq is not null"), id_col, {})
+    return rows.select(*_FILE, id_col, *[F.try_element_at(F.col(by_field), F.lit(f))["value"].alias(f) for f in fields], "version")
 
 
 def whole_table(
     df: DataFrame, id_col: str = "feed_row_id", fields: tuple[str, ...] = WIDE_FIELDS, casts: dict[str, str] = CASTS, defaults: dict[str, str] | None = None
 ) -> DataFrame:
-    """Every row with all its values: ``id_col``, feed, file_seq, version, a column per field of ``fields``, ``others``, ``unread``.
+    """Every row with all its values: feed, file_seq, ``id_col``, version, a column per field of ``fields``, ``others``, ``unread``.
 
     A row is read by ``reading_steps`` of its own version: names become fields, fields that the version lacks get their
     default, values are cast by ``casts`` (``metres`` and ``number`` to double, ``flag`` to boolean, else text). What a cast
     cannot read is null in its column and stands as text in ``unread`` (field to text); null tokens of cast fields are null.
     ``others`` maps each further field to its text, in order of the fields (empty where there is none), so a field that a
-    feed adds later is kept without being known here. ``id_col`` is unique. Rows without feed or number of file are kept
-    without a version, payloads that are no JSON object without values (but defaults). Nested values are kept as their JSON.
-    A row that holds one field under two names keeps the non-null value of the first name by alphabet.
+    feed adds later is kept without being known here. Rows without feed or number of file are kept without a version, by
+    the same rules, each for itself; payloads that are no JSON object have no values (but defaults). Nested values are
+    kept as their JSON. A row that holds one field under two names keeps the non-null value of the first name by alphabet.
     """
-    rows = df.select(id_col, *_FILE, "payload").join(version_fingerprints(df).drop("fingerprint"), _FILE, "left")
-    steps = reading_steps(df, casts, defaults).select(F.col("feed").alias("__feed"), F.col("version").alias("__version"), "old_name", "new_name", "default", "cast", "exponent")
-    own = F.col("feed").eqNullSafe(F.col("__feed")) & F.col("version").eqNullSafe(F.col("__version"))
-    pairs = json_pairs(rows.select(id_col, "feed", "version", "payload")).where("kind is not null")
-    text = F.when(F.col("kind") == "number", F.regexp_replace("value", r"\.0+$", "")).otherwise(F.col("value"))
-    read = pairs.withColumn("value", text).join(steps.where("old_name is not null"), own & (F.col("name") == F.col("old_name")))
-    read = read.select(id_col, "name", "new_name", "value", "cast", "exponent")
-    if defaults:
-        lacking = rows.select(id_col, "feed", "version").join(steps.where("old_name is null"), own)
-        read = read.unionByName(lacking.select(id_col, F.lit("").alias("name"), "new_name", F.col("default").alias("value"), "cast", "exponent"))
-    values = read.groupBy(id_col, "new_name").agg(F.min_by(F.struct("value", "cast", "exponent"), "name").alias("v"))
-    values = values.select(id_col, F.col("new_name").alias("field"), "v.*")
-    clean = F.btrim("value", F.lit(" \t\n\r"))
-    none = clean.isin(*NULL_TOKENS)
-    number = F.when(F.col("cast").isin("metres", "number") & ~none, _cast_number(clean, F.col("cast"), F.col("exponent")))
-    flag = F.when(F.col("cast") == "flag", parse_boolean(F.col("value")))
-    values = values.withColumns({"number": number, "flag": flag, "lost": (F.col("cast") != "text") & ~none & number.isNull() & flag.isNull()})
-    kind = {f: {"metres": "number", "number": "number", "flag": "flag"}.get(casts.get(f, "text"), "value") for f in fields}
-    known = F.col("field").isin(*fields)
-    texts = lambda which: F.map_from_entries(F.sort_array(F.collect_list(F.when(which, F.struct("field", "value")))))
-    wide = values.groupBy(id_col).agg(
-        *[F.max(F.when(F.col("field") == f, F.col(kind[f]))).alias(f) for f in fields],
-        texts(~known).alias("others"), texts(known & F.col("lost")).alias("unread"),
-    )
-    empty = F.create_map().cast("map<string,string>")
-    out = rows.drop("payload").join(wide, id_col, "left")
-    return out.select(*_FILE, id_col, "version", *fields, *[F.coalesce(c, empty).alias(c) for c in ("others", "unread")])
+    rows, by_field, read = _routed(df, id_col, casts, defaults)
+    at = {f: F.try_element_at(F.col(by_field), F.lit(f)) for f in fields}
+    columns, lost = {}, []
+    for f in fields:
+        cast, text = casts.get(f, "text"), at[f]["value"]
+        clean = F.btrim(text, F.lit(" \t\n\r"))
+        there = text.isNotNull() & ~clean.isin(*NULL_TOKENS)
+        columns[f] = text if cast == "text" else parse_boolean(text) if cast == "flag" else F.when(there, _cast_number(clean, cast, at[f]["exponent"]))
+        if cast != "text":
+            lost.append(F.when(there & F.col(f"`{f}`").isNull(), F.struct(F.lit(f).alias("field"), text.alias("value"))))
+    rows = rows.withColumns(columns)
+    others = _text_map(F.filter(read, lambda e: ~e["field"].isin(*fields)))
+    unread = _text_map(F.array_compact(F.array(*lost))) if lost else F.create_map().cast("map<string,string>")
+    return rows.select(*_FILE, id_col, "version", *fields, others.alias("others"), unread.alias("unread"))
