@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from roadloom.common import plate_key, table
 from roadloom.llm.canonical import map_names
 from roadloom.llm.leaks import leaked_items
-from roadloom.llm.mixing import mix_sources
+from roadloom.llm.mixing import Mix, mix_sources
 from roadloom.llm.nearest import pair_nearest
 from roadloom.llm.quality import not_prose, quality_statistics
 from roadloom.plans import survey_sql
@@ -39,6 +39,11 @@ def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
 
 
+def p8_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The schedule itself: the pieces of documents in every slot."""
+    return Mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).schedule
+
+
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual shares of all sources."""
     return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
@@ -54,7 +59,12 @@ def p9_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_mix": p8_mix, "p8_shares": p8_shares,
+    "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_mix": p8_mix, "p8_schedule": p8_schedule, "p8_shares": p8_shares,
     "p9_found": p9_found, "p9_stats": p9_stats,
 }
-SQL: dict[str, str] = {"p5_found": survey_sql.P5}
+_PLATE = """CASE WHEN trim("Plate") NOT IN ('', 'NULL', 'null', 'NA') THEN nullif(regexp_replace(upper("Plate"), '[^A-Z0-9]', '', 'g'), '') END"""
+P5 = f"""WITH {survey_sql.INSTANTS},
+ends AS (SELECT {_PLATE} AS plate, us, fix_id FROM lane_fixes JOIN t2 ON src IN ('fix_from', 'fix_to') AND row_id = fix_id WHERE us IS NOT NULL),
+facts AS (SELECT {_PLATE} AS plate, us AS t, lmd_id FROM combined_lmd JOIN t2 ON src = 'lmd' AND row_id = lmd_id WHERE us IS NOT NULL)
+SELECT min_by(fix_id, (abs(us - t), fix_id)) AS fix_id, lmd_id FROM facts JOIN ends USING (plate) WHERE abs(us - t) <= 5000000 GROUP BY lmd_id"""
+SQL: dict[str, str] = {"p5_found": P5}

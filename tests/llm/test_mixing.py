@@ -2,7 +2,7 @@ import os
 
 import pytest
 
-from roadloom.llm.mixing import TOKENIZER, mix_sources, quotas, schedule, token_blocks, token_counts
+from roadloom.llm.mixing import TOKENIZER, Mix, mix_sources, quotas, schedule, token_blocks, token_counts
 
 pytestmark = pytest.mark.skipif(not os.path.exists(TOKENIZER), reason="no tokenizer file")
 DOCS = "doc_id bigint, text string, source string, tokens int"
@@ -64,3 +64,36 @@ def test_empty_and_special_texts(spark):
     assert mix_sources(docs, spark.createDataFrame([], TARGETS))[0].count() == 0
     counts = {r["doc_id"]: r["tokens"] for r in token_counts(docs).collect()}
     assert counts[1] > 1 and counts[2] == 0 and counts[3] >= 200_000
+
+
+def test_the_schedule_holds_the_chosen_documents_in_full_blocks_and_even_shares(spark):
+    docs = [(i, "word " * (i % 40 + 5), s, 0) for i, s in enumerate(["big"] * 1500 + ["mid"] * 700 + ["small"] * 60)] + [(99_999, "long " * 5_000, "mid", 0)]
+    targets = spark.createDataFrame([("big", 0.6, 1), ("mid", 0.3, 2), ("small", 0.1, 3)], TARGETS)
+    mix = Mix(spark.createDataFrame(docs, DOCS), targets, budget=40_000, block_tokens=64)
+    rows, chosen = mix.schedule.collect(), {r["doc_id"]: r for r in mix.chosen.collect()}
+    used, slots, tokens = {}, {}, {}
+    for r in rows:
+        used.setdefault((r["doc_id"], r["round"]), []).append((r["first_token"], r["tokens"]))
+        slots.setdefault(r["slot"], set()).add(r["source"])
+        tokens[r["slot"]] = tokens.get(r["slot"], 0) + r["tokens"]
+    assert {d: sum(x == d for x, _ in used) for d in chosen} == {d: r["uses"] for d, r in chosen.items()}
+    for (d, _), parts in used.items():  # the pieces of a use are the document, once
+        at = 0
+        for first, n in sorted(parts):
+            assert first == at
+            at += n
+        assert at == chosen[d]["tokens"]
+    assert all(len(s) == 1 for s in slots.values()) and sum(n != 64 for n in tokens.values()) <= 3 and max(tokens.values()) == 64
+    order = sorted(slots)
+    for cut in (len(order) // 10, len(order) // 2, len(order)):
+        part = [next(iter(slots[s])) for s in order[:cut]]
+        assert all(abs(part.count(s) / cut - w) < 0.02 + 2 / cut for s, w in (("big", 0.6), ("mid", 0.3), ("small", 0.1)))
+    longest = max(r["tokens"] for r in chosen.values() if r["doc_id"] != 99_999)
+    assert all(abs(r["actual_tokens"] - r["quota_tokens"]) <= (2_500 if r["source"] == "mid" else longest) for r in mix.report.collect())
+
+
+def test_many_sources(spark):
+    docs = spark.createDataFrame([(i, "some words", f"s{i % 700:03}", 0) for i in range(1400)], DOCS)
+    targets = spark.createDataFrame([(f"s{i:03}", 1 / 700, 1) for i in range(700)], TARGETS)
+    mix = Mix(docs, targets, block_tokens=4)
+    assert mix.chosen.count() == 1400 and mix.schedule.agg({"tokens": "sum"}).first()[0] == mix.report.agg({"actual_tokens": "sum"}).first()[0]
