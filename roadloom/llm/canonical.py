@@ -15,14 +15,15 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import reduce
+from dataclasses import dataclass, field
+from functools import cached_property, reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.common import bounded_shard, filled, lookup_join
-from roadloom.session import map_batches
+from roadloom.session import cut_lineage, map_batches
 
 #: Entries in one broadcast tree at most.
 SHARD_ENTRIES = 50_000
@@ -34,18 +35,43 @@ SHORT_FORMS = {
     "expressway": ("expwy", "xway", "exwy", "expy", "exp"), "motorway": ("mwy", "mway", "mtwy"), "route": ("rt", "rte"), "upper": ("upr", "upp"),
     "lower": ("lwr", "lr"), "old": ("olde",), "north": ("n", "nth", "nrth"), "south": ("s", "sth"), "east": ("e",), "west": ("w", "wst"),
 }
-_LONG = {short: long for long, shorts in SHORT_FORMS.items() for short in shorts}
-#: Words that belong to the number of a road behind them.
-_BEFORE_NUMBERS = frozenset(x for long in ("highway", "motorway", "route", "road") for x in (long, *SHORT_FORMS[long])) | {"m", "sh"}
 _COMPASS = ("north", "south", "east", "west")
 _LOOKALIKE_DIGITS = str.maketrans("013456789", "oleasbtbg")
 _NUMBERED = re.compile(r"(rt|rte|route|sh|hwy|hway|highway|m|mwy|mway|motorway)(\d+)")
-#: What crews add behind a name, alone or before a number. Additions are typed as freely as names.
-ADDED_WORDS = ("ramp", "northbound", "southbound", "eastbound", "westbound", "resurvey")
-ADDED_BEFORE_NUMBERS = ("section", "sec", "part", "pt", "lane")
 
 
-def plain_form(name: str) -> str:
+@dataclass(frozen=True)
+class NameWords:
+    """What is known of the words of a kind of names; the search itself knows none.
+
+    ``short_forms``: short forms of words; ``added``: what is put behind a name, ``added_before_numbers``: the same with a
+    number after it. Additions are typed as freely as names. ``numbered``: words that belong to the number behind them.
+    """
+
+    short_forms: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    added: tuple[str, ...] = ()
+    added_before_numbers: tuple[str, ...] = ()
+    numbered: tuple[str, ...] = ()
+
+    @cached_property
+    def long(self) -> dict[str, str]:
+        return {short: word for word, shorts in self.short_forms.items() for short in shorts}
+
+    @cached_property
+    def before_numbers(self) -> frozenset[str]:
+        return frozenset(x for word in self.numbered for x in (word, *self.short_forms.get(word, ())))
+
+
+#: The words of road names, the default of every function here.
+ROAD_WORDS = NameWords(
+    SHORT_FORMS,
+    ("ramp", "northbound", "southbound", "eastbound", "westbound", "resurvey"),
+    ("section", "sec", "part", "pt", "lane"),
+    ("highway", "motorway", "route", "road", "m", "sh"),
+)
+
+
+def plain_form(name: str, known: NameWords = ROAD_WORDS) -> str:
     """The comparable form of a typed name or entry: words and numbers, one blank apart; empty where nothing is left."""
     s = unicodedata.normalize("NFKD", name.casefold())
     s = "".join(c for c in s if not unicodedata.combining(c))
@@ -65,17 +91,17 @@ def plain_form(name: str) -> str:
             words.append(word)
     while words and words[0] == "the":
         words.pop(0)
-    words = _without_additions(words)
+    words = _without_additions(words, known)
     if len(words) > 2 and words[-1] in ("a", "b", "c", "d"):
-        words = _without_additions(words[:-1])
+        words = _without_additions(words[:-1], known)
     out: list[str] = []
     for i, word in enumerate(words):
         if word == "sh":
             out += ["state", "highway"]
-        elif word == "st" and i + 1 < len(words) and _LONG.get(words[i + 1], words[i + 1]) == "highway":
+        elif word == "st" and i + 1 < len(words) and known.long.get(words[i + 1], words[i + 1]) == "highway":
             out.append("state")
         else:
-            out.append(_LONG.get(word, word))
+            out.append(known.long.get(word, word))
     if len(out) > 2 and out[0] in _COMPASS:
         out = [*out[1:], out[0]]
     out = _number_last(out)
@@ -86,13 +112,13 @@ def _is_nearly(word: str, known: tuple[str, ...]) -> bool:
     return any(word == k or len(k) >= 2 and abs(len(word) - len(k)) <= 1 and slips(word, k) <= 1 for k in known)
 
 
-def _without_additions(words: list[str]) -> list[str]:
+def _without_additions(words: list[str], known: NameWords) -> list[str]:
     """Cut off additions at the end, mistyped ones too, as long as two words of a name are left before them."""
     while len(words) >= 3:
         last = words[-1]
-        if _is_nearly(last, ADDED_WORDS):
+        if _is_nearly(last, known.added):
             words = words[:-1]
-        elif last.isdigit() and (words[-2] in ADDED_BEFORE_NUMBERS or len(words) >= 4 and words[-2] not in _BEFORE_NUMBERS and _is_nearly(words[-2], ADDED_BEFORE_NUMBERS)):
+        elif last.isdigit() and (words[-2] in known.added_before_numbers or len(words) >= 4 and words[-2] not in known.before_numbers and _is_nearly(words[-2], known.added_before_numbers)):
             words = words[:-2]
         else:
             break
@@ -187,10 +213,10 @@ def radius(length: int) -> int:
 class Matcher:
     """One shard of the reference list: the best entry for a typed form."""
 
-    def __init__(self, entries: list[tuple[int, str]]):
+    def __init__(self, entries: list[tuple[int, str]], known: NameWords = ROAD_WORDS):
         self.ids: dict[str, int] = {}
         for ref_id, name in entries:
-            key = plain_form(name).replace(" ", "")
+            key = plain_form(name, known).replace(" ", "")
             if key:
                 self.ids[key] = min(ref_id, self.ids.get(key, ref_id))
         self.tree = BKTree(sorted(self.ids))
@@ -206,30 +232,34 @@ class Matcher:
         return ranked[0] if ranked and ranked[0][0] <= slips_allowed(len(key)) else None
 
 
-def match_names(names: DataFrame, reference: DataFrame, name_col: str, id_col: str, entry_col: str) -> DataFrame:
+def match_names(names: DataFrame, reference: DataFrame, name_col: str, id_col: str, entry_col: str, known: NameWords = ROAD_WORDS) -> DataFrame:
     """(``name_col``, ``id_col``, slips): every distinct name with the id of the entry it means, or -1 and null.
 
     Null tokens are no names. Empty tables give an empty result, an empty list only -1. Entries with a null id or name are
     left out; of entries with the same plain form the smallest id holds.
     """
-    typed = names.select(name_col).where(filled(F.col(name_col)).isNotNull()).distinct()
+    spark = names.sparkSession
+    # Names are short but each is a search: they are spread by number, as by bytes they would end in a few tasks.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    typed = names.select(name_col).where(filled(F.col(name_col)).isNotNull()).distinct().repartition(tasks, name_col)
     entries = reference.select(F.col(id_col).cast("int").alias("id"), F.col(entry_col).alias("name")).where("id is not null and name is not null").distinct()
     shards = max(1, -(-entries.count() // SHARD_ENTRIES))
     schema = f"`{name_col}` string, found_id int, slips int"
     passes = []
     for shard in range(shards):
-        matcher = Matcher(bounded_shard(entries, ["id", "name"], shard, shards, 2 * SHARD_ENTRIES))
+        matcher = Matcher(bounded_shard(entries, ["id", "name"], shard, shards, 2 * SHARD_ENTRIES), known)
 
         def run(batches: Iterator[pd.DataFrame], matcher: Matcher = matcher) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                best = [matcher.best(plain_form(n)) for n in batch[name_col]]
+                best = [matcher.best(plain_form(n, known)) for n in batch[name_col]]
                 yield pd.DataFrame({
                     name_col: batch[name_col],
                     "found_id": pd.array([b[1] if b else None for b in best], "Int32"),
                     "slips": pd.array([b[0] if b else None for b in best], "Int32"),
                 })
 
-        passes.append(map_batches(typed, run, schema))
+        # Matched once, however often the result is read; the driver holds one shard at a time.
+        passes.append(cut_lineage(map_batches(typed, run, schema)))
     won = reduce(DataFrame.unionByName, passes)
     if shards > 1:
         rank = F.struct(F.coalesce("slips", F.lit(99)), "found_id")
@@ -237,8 +267,8 @@ def match_names(names: DataFrame, reference: DataFrame, name_col: str, id_col: s
     return won.select(name_col, F.coalesce("found_id", F.lit(-1)).alias(id_col), "slips")
 
 
-def map_names(rows: DataFrame, reference: DataFrame, keys: list[str], name_col: str, id_col: str, entry_col: str) -> DataFrame:
+def map_names(rows: DataFrame, reference: DataFrame, keys: list[str], name_col: str, id_col: str, entry_col: str, known: NameWords = ROAD_WORDS) -> DataFrame:
     """(``keys``, ``name_col``, ``id_col``): the distinct names of every key with the entry meant; -1 where there is none."""
     pairs = rows.select(*keys, name_col).where(filled(F.col(name_col)).isNotNull()).distinct()
-    meant = match_names(pairs, reference, name_col, id_col, entry_col).select(name_col, id_col)
+    meant = match_names(pairs, reference, name_col, id_col, entry_col, known).select(name_col, id_col)
     return lookup_join(pairs, meant, [name_col]).select(*keys, name_col, id_col)
