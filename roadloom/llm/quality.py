@@ -1,12 +1,14 @@
 """Per-document text statistics, and what tells natural prose from lists, tables and junk.
 
-Every non-blank line is reduced to one of a few signs by its own statistics (words, cells, marks, symbols, numbers, vowels,
-repetition). A hidden Markov model with the states prose, list, table and junk then labels the lines of a document
-together (Viterbi): the signs are its observations, and as kinds of text come in runs, a line takes its neighbours into
-account. A document is what most of its characters are labelled.
-
-The model's probabilities are parameters, set out below. They were fixed on the statistics of plain kinds of lines, not
-fitted to a table, and are the same for input of every size.
+Every non-blank line is reduced to its statistics, each in a few bins (``line_statistics``): shares of letters, vowels,
+garbled characters and tokens with digits, number of words and share of common ones, cells, list mark, final punctuation,
+links and markup, repetition, keys of one row, number of lines. A hidden Markov model labels the lines of a document
+together (Viterbi): as kinds of text come in runs, a line takes its neighbours into account. A document is what most of its
+characters are labelled.
+
+The model has several states for a label (sentences and titles are prose; signs, figures, echoes and so on are junk). What a
+state emits is fitted to the labelled lines of ``quality_examples``: every statistic by itself, by its counts and ``SMOOTHING``.
+No statistic decides alone, and nothing is fitted to a table, so the model is the same for input of every size.
 """
 
 from __future__ import annotations
@@ -17,25 +19,21 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roadloom.llm.quality_examples import EXAMPLES
 from roadloom.session import map_batches
 
 STATES = ("prose", "list", "table", "junk")
-SIGNS = ("sentence", "short", "mark", "cells", "noise")
-
-#: Probabilities of the signs in each state, of the state of the first line, and of staying in a state.
-EMIT = {
-    "prose": {"sentence": 0.80, "short": 0.15, "mark": 0.03, "cells": 0.01, "noise": 0.01},
-    "list": {"sentence": 0.03, "short": 0.40, "mark": 0.56, "cells": 0.005, "noise": 0.005},
-    "table": {"sentence": 0.01, "short": 0.03, "mark": 0.01, "cells": 0.94, "noise": 0.01},
-    "junk": {"sentence": 0.01, "short": 0.03, "mark": 0.005, "cells": 0.005, "noise": 0.95},
-}
-FIRST = {"prose": 0.85, "list": 0.05, "table": 0.05, "junk": 0.05}
-STAY = 0.90
+#: The label of each state of the model; all others are junk.
+LABELS = {"prose": "prose", "title": "prose", "list": "list", "bare": "list", "table": "table"}
+#: Weights of the states of a first line, probability of staying in a state, and what is added to every count.
+FIRST_WEIGHTS = {"prose": 60, "title": 20, "list": 2, "bare": 2, "table": 2}
+STAY, SMOOTHING = 0.9, 0.05
 
 #: The most common words of the languages of the corpus.
 COMMON_WORDS = frozenset(
@@ -46,21 +44,40 @@ COMMON_WORDS = frozenset(
 )
 
 _URL = re.compile(r"(?:https?://|www\.)\S+", re.I)
-_MARKUP = re.compile(r"<[^<>]*>|&[a-z]+;|&#\d+;|\{\{[^{}]*\}\}|\bundefined\b|\[object Object\]", re.I)
+_MARKUP = re.compile(r"<[^<>]*>|&[a-z]+;|&#\d+;|\{\{[^{}]*\}\}|\b(?:undefined)+\b|\[object Object\]", re.I)
 _MARK = re.compile(r"^\s*(?:[-*+•–—·▪◦‣>✓✔]|\(?\d{1,3}[.):]|\(?[A-Za-z][.)]|\[[ xX]?\])\s+(?=\S)")
 _RULE_ROW = re.compile(r"^[\s|:+=-]{3,}$")
 _TERMINAL = re.compile(r"[.!?…:]['\"”’)»\]]*$")
+_EMOJI_END = re.compile(r"[\u2600-\U0010ffff\s]+$")
 _REPEATED = re.compile(r"^(.{1,4}?)\1{3,}.{0,3}$", re.S)
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+_LINES = re.compile(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 _GARBLED = frozenset("ÃÂâÐïÑ�¢¬¤½¼¾»«¿‚„€™œžŸ¦§¨©ª­®¯°±²³´µ¶·¸¹º")
 _VOWELS = frozenset("aeiouy")
 _TOP_ROW, _MIDDLE_ROW, _BOTTOM_ROW = frozenset("qwertyuiop"), frozenset("asdfghjkl"), frozenset("zxcvbnm")
-#: A line that keeps at least this much of itself is what that is (links, markup, garbled characters, long codes).
-MOSTLY = 0.6
 
 
-def _folded(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
+class _Classes(dict):
+    """The class of every character, worked out when it is first met: blank, garbled, digit, vowel, consonant, other letter, sign."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        base = "".join(x for x in unicodedata.normalize("NFKD", c.lower()) if not unicodedata.combining(x))[:1]
+        if c.isspace():
+            kind = " "
+        elif c in _GARBLED:
+            kind = "g"
+        elif c.isdigit():
+            kind = "d"
+        elif "a" <= base <= "z":
+            kind = "v" if base in _VOWELS else "c"
+        else:
+            kind = "l" if c.isalpha() else "s"
+        self[code] = kind
+        return kind
+
+
+_CLASSES = _Classes()
 
 
 def _cells(line: str) -> tuple[str, int] | None:
@@ -82,41 +99,6 @@ def _cells(line: str) -> tuple[str, int] | None:
     return None
 
 
-def _is_noise(line: str) -> bool:
-    """No language: symbols, emoji, bare numbers, codes, links, markup, garbled characters, mashed keys, repetition."""
-    solid = re.sub(r"\s+", "", line)
-    if not solid:
-        return True
-    links = sum(len(u) for u in _URL.findall(line))
-    if links >= MOSTLY * len(solid):
-        return True
-    stripped = _MARKUP.sub(" ", line)
-    rest = re.sub(r"\s+", "", stripped)
-    if len(rest) <= (1 - MOSTLY) * len(solid) and len(_WORD.findall(html.unescape(stripped))) < 6:
-        return True
-    if sum(c in _GARBLED for c in rest) >= 0.35 * len(rest):
-        return True
-    letters = [c for c in _folded(rest) if c.isalpha()]
-    if len(letters) < 0.25 * len(rest) or not letters:
-        return True
-    tokens = stripped.split()
-    longest = sum(len(t) for t in tokens if len(t) > 28)
-    if longest >= MOSTLY * len(rest):
-        return True
-    coded = sum(any(c.isdigit() for c in t) for t in tokens)
-    if len(tokens) >= 2 and coded >= 0.8 * len(tokens) or len(tokens) == 1 and coded and sum(c.isdigit() for c in rest) >= 2:
-        return True
-    latin = [c for c in letters if "a" <= c <= "z"]
-    vowels = sum(c in _VOWELS for c in latin)
-    if len(latin) >= 3 and not vowels or len(latin) >= 8 and vowels < 0.2 * len(latin):
-        return True
-    if len(rest) >= 6 and _REPEATED.match(rest.lower()):
-        return True
-    if len(tokens) >= 2 and _mashed(latin):
-        return True
-    return _repeats(stripped)
-
-
 def _repeats(text: str) -> bool:
     """One word (or two) over and over."""
     tokens = [t.strip(".!?:\"'()") for t in re.split(r"[\s,;|/]+", text.lower())]
@@ -128,122 +110,198 @@ def _repeats(text: str) -> bool:
     return bool(top) and (top[0] >= 0.6 * len(tokens) or len(tokens) >= 6 and sum(top) == len(tokens))
 
 
-def _mashed(letters: list[str]) -> bool:
-    """All from one row of a keyboard: what hands leave that lie on it."""
-    used = set(letters)
-    return len(letters) >= 6 and (used <= _MIDDLE_ROW or used <= _BOTTOM_ROW) or len(letters) >= 20 and used <= _TOP_ROW
+def _bin(value: float, *edges: float) -> int:
+    return sum(value >= e for e in edges)
 
 
-def line_sign(line: str, neighbours: list[tuple[str, int] | None], cells: tuple[str, int] | None) -> str:
-    """The sign of one line; ``cells`` is its own reading as cells, ``neighbours`` those of the lines beside it."""
-    if _RULE_ROW.match(line) and any(n and n[0] == "|" for n in neighbours):
-        return "cells"
-    words = _WORD.findall(line)
-    if cells:
-        alike = any(n and n[0] == cells[0] and abs(n[1] - cells[1]) <= 1 for n in neighbours)
-        long_text = len(words) >= 4 * cells[1] or len(words) > 6 and _TERMINAL.search(line) and not alike
-        if not long_text and (cells[1] >= 3 or alike) and not _repeats(line) and not _URL.search(line) and not _MARKUP.search(line):
-            if any(c.isalnum() for c in line):
-                return "cells"
+_ANY = 1e-9
+#: Number of bins of each statistic, in the order of ``line_statistics``.
+BINS = (4, 4, 4, 4, 5, 4, 4, 3, 2, 3, 2, 3, 3)
+
+
+def line_statistics(line: str, neighbours: list[tuple[str, int] | None], cells: tuple[str, int] | None, repeated: bool, lines: int) -> tuple[int, ...]:
+    """The binned statistics of one line of a document of ``lines`` lines; ``cells`` is its own reading as cells,
+    ``neighbours`` those of the lines beside it, ``repeated`` whether the whole document is one word over and over."""
+    solid_length = len("".join(line.split())) or 1
+    linked = sum(map(len, _URL.findall(line))) if "://" in line or "www." in line.lower() else 0
     mark = _MARK.match(line)
     body = line[mark.end() :] if mark else line
-    if mark and len(body.split()) <= 6 and not re.search(r"[.!?]$", body.strip()) and any(c.isalpha() for c in body):
-        return "mark"
-    if _is_noise(body):
-        return "noise"
-    if len(words) >= 5 or _TERMINAL.search(line.strip().rstrip("".join(c for c in line if ord(c) > 0x2600)).strip()):
-        return "sentence"
-    return "short"
-
-
-_LOG_EMIT = {s: {o: math.log(p) for o, p in row.items()} for s, row in EMIT.items()}
-_LOG_FIRST = {s: math.log(p) for s, p in FIRST.items()}
-_LOG_STAY, _LOG_MOVE = math.log(STAY), math.log((1 - STAY) / (len(STATES) - 1))
-
-
-def label_lines(signs: list[str]) -> list[str]:
-    """The most likely states of successive lines (Viterbi)."""
-    if not signs:
-        return []
-    score = {s: _LOG_FIRST[s] + _LOG_EMIT[s][signs[0]] for s in STATES}
-    back: list[dict[str, str]] = []
-    for sign in signs[1:]:
-        step, came = {}, {}
-        for s in STATES:
-            best = max(STATES, key=lambda r: score[r] + (_LOG_STAY if r == s else _LOG_MOVE))
-            came[s] = best
-            step[s] = score[best] + (_LOG_STAY if best == s else _LOG_MOVE) + _LOG_EMIT[s][sign]
-        back.append(came)
-        score = step
-    state = max(STATES, key=score.__getitem__)
-    path = [state]
-    for came in reversed(back):
-        state = came[state]
-        path.append(state)
-    return path[::-1]
+    marked = 0
+    if "<" in line or "&" in line or "{{" in line or "undefined" in line or "[object" in line:
+        marked = solid_length - len("".join(_MARKUP.sub(" ", line).split()))
+        body = _MARKUP.sub(" ", html.unescape(body) if marked < 0.6 * solid_length else body)
+    classes = body.translate(_CLASSES)
+    tokens = classes.split()
+    solid = sum(map(len, tokens)) or 1
+    vowels = classes.count("v")
+    latin = vowels + classes.count("c")
+    letters = latin + classes.count("l")
+    words = _WORD.findall(body)
+    common = sum(w.lower() in COMMON_WORDS for w in words)
+    coded = sum("d" in t for t in tokens)
+    if _RULE_ROW.match(line) and any(n and n[0] == "|" for n in neighbours):
+        row = 3
+    elif cells:
+        alike = any(n and n[0] == cells[0] and abs(n[1] - cells[1]) <= 1 for n in neighbours)
+        running = len(words) >= 4 * cells[1] or len(words) > 6 and _TERMINAL.search(line) and not alike
+        row = 0 if running else 2 if cells[1] >= 3 or alike else 1
+    else:
+        row = 0
+    plain = "".join(body.split()).lower()
+    used = set(plain) if latin >= 6 and len(tokens) >= 2 else set()
+    used = {c for c in used if c.isalpha()}
+    one_row = bool(used) and (used <= _MIDDLE_ROW or used <= _BOTTOM_ROW or latin >= 20 and used <= _TOP_ROW)
+    long_tokens = sum(len(t) for t in tokens if len(t) > 28) >= 0.6 * solid
+    markup = _bin(marked / solid_length, _ANY, 0.6)
+    return (
+        _bin(letters / solid, 0.25, 0.5, 0.75),
+        0 if latin < 3 else 1 if not vowels else 2 if latin >= 8 and vowels < 0.2 * latin else 3,
+        _bin(classes.count("g") / solid, _ANY, 0.1, 0.35),
+        (3 if coded and classes.count("d") >= 2 else 0) if len(tokens) == 1 else _bin(coded / len(tokens), _ANY, 0.4, 0.8) if tokens else 0,
+        _bin(len(words), 1, 2, 5, 9),
+        3 if not words else _bin(common / len(words), _ANY, 0.2),
+        row,
+        0 if not mark else 2 if len(body.split()) <= 6 and not re.search(r"[.!?]$", body.strip()) else 1,
+        int(bool(_TERMINAL.search(_EMOJI_END.sub("", line).strip()))),
+        max(_bin(linked / solid_length, _ANY, 0.6), markup if len(words) < 6 else min(1, markup)),
+        int(repeated or _repeats(body) or len(plain) >= 6 and bool(_REPEATED.match(plain))),
+        2 if long_tokens else int(one_row),
+        _bin(lines, 2, 4),
+    )
+
+
+def document_lines(text: str) -> tuple[list[str], list[tuple[int, ...]]]:
+    """The non-blank lines of a text and their statistics."""
+    lines = [x for x in _LINES.split(text) if x.strip()]
+    if not lines:
+        return [], []
+    repeated = _repeats(text)
+    cells = [_cells(x) for x in lines]
+    beside = lambda i: [*cells[max(0, i - 1) : i], *cells[i + 1 : i + 2]]
+    return lines, [line_statistics(x, beside(i), cells[i], repeated, len(lines)) for i, x in enumerate(lines)]
+
+
+class LineModel:
+    """The hidden Markov model: log probabilities of first states, of moves and of statistics."""
+
+    def __init__(self, examples: dict[str, tuple[str, ...]], first: dict[str, float], stay: float = STAY, smoothing: float = SMOOTHING):
+        self.names = list(examples)
+        self.labels = [LABELS.get(n, "junk") for n in self.names]
+        total = sum(first.get(n, 1) for n in self.names)
+        self.first = [math.log(first.get(n, 1) / total) for n in self.names]
+        self.stay, self.move = math.log(stay), math.log((1 - stay) / (len(self.names) - 1))
+        counts = [[[smoothing] * n for n in BINS] for _ in self.names]
+        for state, texts in zip(counts, examples.values()):
+            for text in texts:
+                for found in document_lines(text)[1]:
+                    for statistic, value in zip(state, found):
+                        statistic[value] += 1
+        self.log = [[[math.log(x / sum(statistic)) for x in statistic] for statistic in state] for state in counts]
+        self.emission = lru_cache(maxsize=100_000)(self._emission)
+
+    def _emission(self, found: tuple[int, ...]) -> list[float]:
+        """Log probability of the statistics of a line in every state. Lines differ in few ways, so most are looked up."""
+        return [sum(statistic[v] for statistic, v in zip(state, found)) for state in self.log]
+
+    def path(self, statistics: list[tuple[int, ...]]) -> list[int]:
+        """The most likely states of successive lines (Viterbi). From any state the best other one to come from is the best of all."""
+        if not statistics:
+            return []
+        score = [a + b for a, b in zip(self.first, self.emission(statistics[0]))]
+        back: list[list[int]] = []
+        for found in statistics[1:]:
+            best = max(range(len(score)), key=score.__getitem__)
+            came = [s if score[s] + self.stay >= score[best] + self.move else best for s in range(len(score))]
+            score = [score[c] + (self.stay if c == s else self.move) + e for s, (c, e) in enumerate(zip(came, self.emission(found)))]
+            back.append(came)
+        state = max(range(len(score)), key=score.__getitem__)
+        out = [state]
+        for came in reversed(back):
+            state = came[state]
+            out.append(state)
+        return out[::-1]
+
+    def shares(self, text: str) -> dict[str, float]:
+        """Share of each label by characters; none for a blank text."""
+        lines, statistics = document_lines(text)
+        weights: Counter[str] = Counter()
+        for state, line in zip(self.path(statistics), lines):
+            weights[self.labels[state]] += len("".join(line.split()))
+        total = sum(weights.values())
+        return {s: weights[s] / total for s in STATES} if total else {}
+
+
+@lru_cache(maxsize=1)
+def model() -> LineModel:
+    """Fitted once in each Python worker, in some milliseconds."""
+    return LineModel(EXAMPLES, FIRST_WEIGHTS)
+
+
+def kind_of(shares: dict[str, float]) -> str | None:
+    if not shares:
+        return None
+    return "prose" if shares["prose"] >= 0.5 else max(STATES[1:], key=lambda s: shares[s])
 
 
 def document_kind(text: str) -> tuple[str | None, dict[str, float]]:
     """(kind, share of each label by characters) of a text; none for a blank one."""
-    lines = [x for x in re.split(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]", text) if x.strip()]
-    if not lines:
-        return None, {}
-    if _repeats(text):
-        signs = ["noise"] * len(lines)
-    else:
-        cells = [_cells(x) for x in lines]
-        signs = [line_sign(x, [*cells[max(0, i - 1) : i], *cells[i + 1 : i + 2]], cells[i]) for i, x in enumerate(lines)]
-    weights: Counter[str] = Counter()
-    for label, line in zip(label_lines(signs), lines):
-        weights[label] += len(re.sub(r"\s+", "", line))
-    total = sum(weights.values()) or 1
-    shares = {s: weights[s] / total for s in STATES}
-    if shares["prose"] >= 0.5:
-        return "prose", shares
-    return max(STATES[1:], key=lambda s: shares[s]), shares
-
-
-_STATS = (
-    "word_count int, mean_word_length double, symbol_ratio double, digit_ratio double, line_count int, terminal_line_share double, "
-    "common_word_share double, prose_share double, list_share double, table_share double, junk_share double, kind string"
-)
-
-
-def text_statistics(text: str | None) -> tuple:
-    """The figures of ``quality_statistics`` of one text."""
-    text = text or ""
-    words = _WORD.findall(text)
-    solid = [c for c in text if not c.isspace()]
-    lines = [x for x in text.splitlines() if x.strip()]
-    kind, shares = document_kind(text)
-    share = lambda part, whole: part / whole if whole else None
-    return (
-        len(words), share(sum(map(len, words)), len(words)), share(sum(not c.isalnum() for c in solid), len(solid)),
-        share(sum(c.isdigit() for c in solid), len(solid)), len(lines), share(sum(bool(_TERMINAL.search(x.strip())) for x in lines), len(lines)),
-        share(sum(w.lower() in COMMON_WORDS for w in words), len(words)), *(shares.get(s) for s in STATES), kind,
+    shares = model().shares(text)
+    return kind_of(shares), shares
+
+
+FIGURES = ("word_count", "mean_word_length", "symbol_ratio", "digit_ratio", "line_count", "terminal_line_share", "common_word_share")
+
+
+def text_figures(text: Column) -> list[Column]:
+    """The ``FIGURES`` of a text, as built-in expressions over the whole of it; null and blank texts have zero words and lines, and null shares."""
+    t = F.coalesce(text, F.lit(""))
+    words = F.regexp_extract_all(t, F.lit(r"\p{L}+(?:['’-]\p{L}+)*"), F.lit(0))
+    solid = F.regexp_replace(t, r"\s+", "")
+    length = F.length(solid)
+    lines = F.filter(F.split(t, r"\r\n|[\n\r]", -1), lambda x: F.trim(x) != "")
+    closed = F.filter(lines, lambda x: F.regexp_replace(x, r"\s+$", "").rlike(r"""[.!?…:]['"”’)»\]]*$"""))
+    usual = F.filter(words, lambda w: F.lower(w).isin(*sorted(COMMON_WORDS)))
+    share = lambda part, whole: F.when(whole > 0, part / whole)
+    n = F.size(words)
+    figures = (
+        n, share(F.length(F.array_join(words, "")), n), share(length - F.length(F.regexp_replace(solid, r"[^\p{L}\p{N}]", "")), length),
+        share(F.length(F.regexp_replace(solid, r"\P{Nd}", "")), length), F.size(lines), share(F.size(closed), F.size(lines)), share(F.size(usual), n),
     )
+    return [f.alias(name) for f, name in zip(figures, FIGURES)]
 
 
 def quality_statistics(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``documents``: ``id_col`` and its text's figures, over the whole text.
+    """One row per row of ``documents``: ``id_col``, its text's ``FIGURES``, the shares of the labels and the kind, over the whole text.
 
     Null and blank texts have zero words and lines, null shares and no kind. Repeated rows are kept, each with its own
     result; empty tables give empty ones; further columns are not read. A very long text is one row of work in one task.
     """
-    names = [x.split()[0] for x in _STATS.split(", ")]
     kind = documents.schema[id_col].dataType.simpleString()
+    shares = [f"{s}_share" for s in STATES]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [text_statistics(t if isinstance(t, str) else None) for t in batch["t"]]
-            out = pd.DataFrame(rows, columns=names)
-            out.insert(0, id_col, batch["d"])
+            found = [model().shares(t) if isinstance(t, str) else {} for t in batch["t"]]
+            out = batch[["d", *FIGURES]].rename(columns={"d": id_col})
+            for s, name in zip(STATES, shares):
+                out[name] = pd.array([f.get(s) for f in found], "Float64")
+            out["kind"] = [kind_of(f) for f in found]
             yield out
 
-    chosen = documents.select(F.col(id_col).alias("d"), F.col(text_col).alias("t"))
-    return map_batches(chosen, run, f"`{id_col}` {kind}, {_STATS}")
+    chosen = documents.select(F.col(id_col).alias("d"), F.col(text_col).alias("t"), *text_figures(F.col(text_col)))
+    types = dict(chosen.dtypes)
+    schema = ", ".join([f"`{id_col}` {kind}", *[f"{c} {types[c]}" for c in FIGURES], *[f"{c} double" for c in shares], "kind string"])
+    return map_batches(chosen, run, schema)
 
 
 def not_prose(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(``id_col``, kind) of the documents that are mainly a list, a table or junk."""
-    return quality_statistics(documents, id_col, text_col).where("kind is not null and kind <> 'prose'").select(id_col, "kind")
+    """(``id_col``, kind) of the documents that are mainly a list, a table or junk. Only the ids of these leave Python."""
+    kind = documents.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            kinds = pd.Series([kind_of(model().shares(t)) if isinstance(t, str) else None for t in batch["t"]], index=batch.index, dtype=object)
+            kept = kinds.notna() & (kinds != "prose")
+            yield pd.DataFrame({id_col: batch["d"][kept], "kind": kinds[kept]})
+
+    return map_batches(documents.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")), run, f"`{id_col}` {kind}, kind string")

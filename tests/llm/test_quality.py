@@ -3,7 +3,8 @@ from itertools import product
 
 import pytest
 
-from roadloom.llm.quality import _LOG_EMIT, _LOG_FIRST, _LOG_MOVE, _LOG_STAY, SIGNS, STATES, document_kind, label_lines, not_prose, quality_statistics
+from roadloom.llm.quality import BINS, FIRST_WEIGHTS, LineModel, document_kind, document_lines, model, not_prose, quality_statistics
+from roadloom.llm.quality_examples import EXAMPLES
 
 PROSE = "The hinge feels solid and moves without any fuss. I would buy it again."
 CASES = [
@@ -25,10 +26,32 @@ def test_kinds(kind, text):
 
 
 def test_labels_are_the_most_likely_path():
-    for signs in product(SIGNS, repeat=4):
+    small = LineModel({k: EXAMPLES[k] for k in ("prose", "list", "table", "echo")}, FIRST_WEIGHTS)
+    lines = [document_lines(x)[1][0] for x in (PROSE, "- soft grip\n- wide", "a;b;c\n1;2;3", "ok ok ok ok ok ok", "Nice box")]
+    for found in product(lines, repeat=4):
+        emitted = [small.emission(f) for f in found]
+
         def score(path):
-            return _LOG_FIRST[path[0]] + sum(_LOG_EMIT[s][o] for s, o in zip(path, signs)) + sum(_LOG_STAY if a == b else _LOG_MOVE for a, b in zip(path, path[1:]))
-        assert math.isclose(score(label_lines(list(signs))), max(map(score, product(STATES, repeat=4))))
+            return small.first[path[0]] + sum(e[s] for s, e in zip(path, emitted)) + sum(small.stay if a == b else small.move for a, b in zip(path, path[1:]))
+
+        assert math.isclose(score(small.path(list(found))), max(map(score, product(range(4), repeat=4))))
+
+
+def test_probabilities_and_bins():
+    m = model()
+    assert all(math.isclose(sum(map(math.exp, statistic)), 1) for state in m.log for statistic in state)
+    assert math.isclose(sum(map(math.exp, m.first)), 1) and math.isclose(math.exp(m.stay) + (len(m.names) - 1) * math.exp(m.move), 1)
+    for _, text in CASES:
+        for found in document_lines(text or "")[1]:
+            assert len(found) == len(BINS) and all(0 <= v < n for v, n in zip(found, BINS))
+    assert all(document_kind(t)[0] == m.labels[i] for i, n in enumerate(m.names) for t in EXAMPLES[n])
+
+
+def test_neighbours_matter():
+    """The same short line is a title by itself and an entry among entries."""
+    assert document_kind("wide base")[0] == "prose"
+    lines = ["quiet", "wide base", "long hose", "good colour", "no manual"]
+    assert document_kind("\n".join(lines))[0] == "list"
 
 
 def test_table(spark):
