@@ -1,4 +1,4 @@
-"""SQL for DuckDB that gives the rows of p1, p2, p4 and p5 by other means: plain joins and windows over whole tables."""
+"""SQL for DuckDB that gives the rows of p1 to p4 by other means: plain joins and windows over whole tables."""
 
 from __future__ import annotations
 
@@ -84,11 +84,6 @@ periods AS (SELECT plate, island, min(s) AS a, max(e) AS b FROM islands GROUP BY
 followed AS (SELECT plate, b, lead(a) OVER (PARTITION BY plate ORDER BY a) AS later FROM periods)
 SELECT plate, 'period' AS kind, a AS start_us, b AS end_us FROM periods UNION ALL SELECT plate, 'gap', b, later FROM followed WHERE later IS NOT NULL"""
 
-P5 = f"""WITH {INSTANTS},
-ends AS (SELECT {_plate('"Plate"')} AS plate, us, fix_id FROM lane_fixes JOIN t2 ON src IN ('fix_from', 'fix_to') AND row_id = fix_id WHERE us IS NOT NULL),
-facts AS (SELECT {_plate('"Plate"')} AS plate, us AS t, lmd_id FROM combined_lmd JOIN t2 ON src = 'lmd' AND row_id = lmd_id WHERE us IS NOT NULL)
-SELECT min_by(fix_id, (abs(us - t), fix_id)) AS fix_id, lmd_id FROM facts JOIN ends USING (plate) WHERE abs(us - t) <= 5000000 GROUP BY lmd_id"""
-
 _FIELDS = ", ".join(f"('{k}', '{v}')" for k, v in field_keys().items())
 
 P4 = rf"""WITH keys AS (SELECT feed, file_seq, unnest(json_keys(payload)) AS name, payload FROM feed_rows WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
