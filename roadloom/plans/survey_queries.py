@@ -39,6 +39,18 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part(lmd, "lmd", "lmd_id", "TestDateUTC").unionByName(both).where("utc_text is not null")
 
 
+def p2_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The zones of all files of ``combined_lmd`` withheld and estimated anew: per file its values without zone mark that have an
+    instant by the stated zone, and how many of them get the same one by the estimate."""
+    files = table(spark, sf_dir, "survey_files")
+    stated = lmd_instants(spark, sf_dir).withColumnsRenamed({"TestDateUTC_us": "stated_us", "TestDateUTC_word": "stated_word"})
+    marked = F.col("TestDateUTC").rlike(r"(?i)([0-9]|\s)(Z|[+-][0-9]{2}:?[0-9]{2}|[A-Z]{3,5})\s*$|^\s*[0-9]{10,}") & ~F.col("TestDateUTC").rlike(r"(?i)[AP]M\s*$")
+    bare = stated.withColumn("counts", F.col("stated_us").isNotNull() & ~marked)
+    both = with_instants(bare, files.withColumn("zone_name", F.lit(None).cast("string")), ["TestDateUTC"])
+    same = F.coalesce(F.col("stated_us") == F.col("TestDateUTC_us"), F.lit(False))
+    return both.groupBy("source_file").agg(F.count_if("counts").alias("n_values"), F.count_if(F.col("counts") & same).alias("n_same"))
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixes = fix_instants(spark, sf_dir).select(plate_key(F.col("Plate")).alias("plate"), "From_us", "To_us")
     return continuous_periods(fixes, "plate", "From_us", "To_us")
@@ -75,6 +87,7 @@ def p4_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_loaded": p3_loaded, "p4_found": p4_found, "p4_table": p4_table}
+QUERIES |= {"p2_zones": p2_zones}
 QUERIES |= {"p3_whole": p3_whole, "p4_whole": p4_whole}
 SQL: dict[str, str] = {
     "p1_found": survey_sql.P1, "p2_found": survey_sql.P2, "p3_found": survey_sql.P3, "p3_loaded": survey_sql.P3_LOADED, "p4_found": survey_sql.P4, "p4_table": survey_sql.P4_TABLE,
