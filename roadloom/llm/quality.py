@@ -17,6 +17,7 @@ import html
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -55,6 +56,7 @@ _LINES = re.compile(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 _GARBLED = frozenset("ÃÂâÐïÑ�¢¬¤½¼¾»«¿‚„€™œžŸ¦§¨©ª­®¯°±²³´µ¶·¸¹º")
 _VOWELS = frozenset("aeiouy")
 _TOP_ROW, _MIDDLE_ROW, _BOTTOM_ROW = frozenset("qwertyuiop"), frozenset("asdfghjkl"), frozenset("zxcvbnm")
+_KEYS = _TOP_ROW | _MIDDLE_ROW | _BOTTOM_ROW
 
 
 class _Classes(dict):
@@ -87,10 +89,12 @@ def _cells(line: str) -> tuple[str, int] | None:
         return "|", len(body.strip("|").split("|"))
     if "\t" in body:
         return "\t", len(re.split(r"\t+", body))
-    if re.search(r";(?=\S)", body) and "; " not in body:
+    if ";" in body and re.search(r";(?=\S)", body) and "; " not in body:
         return ";", body.count(";") + 1
-    if re.search(r",(?=\S)", body) and ", " not in body and not re.fullmatch(r"[\d.,\s]+", body):
+    if "," in body and re.search(r",(?=\S)", body) and ", " not in body and not re.fullmatch(r"[\d.,\s]+", body):
         return ",", body.count(",") + 1
+    if "  " not in body and body.isascii():
+        return None
     wide = re.split(r"\s{2,}", body)
     if len(wide) >= 2 and not _TERMINAL.search(body):
         words = _WORD.findall(body.lower())
@@ -99,19 +103,24 @@ def _cells(line: str) -> tuple[str, int] | None:
     return None
 
 
+_PLAINLY = str.maketrans(",;|/", "    ", ".!?:\"'()")
+
+
 def _repeats(text: str) -> bool:
     """One word (or two) over and over."""
-    tokens = [t.strip(".!?:\"'()") for t in re.split(r"[\s,;|/]+", text.lower())]
-    tokens = [t for t in tokens if t]
+    tokens = text.lower().translate(_PLAINLY).split()
     if len(tokens) < 5:
         return False
-    counts = Counter(t for t in tokens if t.isalpha())
-    top = [n for _, n in counts.most_common(2)]
+    counts = Counter(tokens)
+    if max(counts.values()) < 0.5 * len(tokens):
+        return False
+    top = sorted((n for t, n in counts.items() if t.isalpha()), reverse=True)[:2]
     return bool(top) and (top[0] >= 0.6 * len(tokens) or len(tokens) >= 6 and sum(top) == len(tokens))
 
 
 def _bin(value: float, *edges: float) -> int:
-    return sum(value >= e for e in edges)
+    """How many of the edges a value reaches."""
+    return bisect_right(edges, value)
 
 
 _ANY = 1e-9
@@ -136,9 +145,9 @@ def line_statistics(line: str, neighbours: list[tuple[str, int] | None], cells:
     vowels = classes.count("v")
     latin = vowels + classes.count("c")
     letters = latin + classes.count("l")
-    words = _WORD.findall(body)
-    common = sum(w.lower() in COMMON_WORDS for w in words)
-    coded = sum("d" in t for t in tokens)
+    words = _WORD.findall(body.lower())
+    common = sum(map(COMMON_WORDS.__contains__, words))
+    coded = sum("d" in t for t in tokens) if "d" in classes else 0
     if _RULE_ROW.match(line) and any(n and n[0] == "|" for n in neighbours):
         row = 3
     elif cells:
@@ -148,10 +157,13 @@ def line_statistics(line: str, neighbours: list[tuple[str, int] | None], cells:
     else:
         row = 0
     plain = "".join(body.split()).lower()
-    used = set(plain) if latin >= 6 and len(tokens) >= 2 else set()
-    used = {c for c in used if c.isalpha()}
-    one_row = bool(used) and (used <= _MIDDLE_ROW or used <= _BOTTOM_ROW or latin >= 20 and used <= _TOP_ROW)
-    long_tokens = sum(len(t) for t in tokens if len(t) > 28) >= 0.6 * solid
+    one_row = False
+    if latin >= 6 and len(tokens) >= 2:
+        used = set(plain)
+        rows = (_MIDDLE_ROW, _BOTTOM_ROW, _TOP_ROW) if latin >= 20 else (_MIDDLE_ROW, _BOTTOM_ROW)
+        one_row = any(not used & (_KEYS - row) for row in rows) and not any(c.isalpha() for c in used - _KEYS)
+    lengths = [n for n in map(len, tokens) if n > 28]
+    long_tokens = sum(lengths) >= 0.6 * solid
     markup = _bin(marked / solid_length, _ANY, 0.6)
     return (
         _bin(letters / solid, 0.25, 0.5, 0.75),
@@ -164,7 +176,7 @@ def line_statistics(line: str, neighbours: list[tuple[str, int] | None], cells:
         0 if not mark else 2 if len(body.split()) <= 6 and not re.search(r"[.!?]$", body.strip()) else 1,
         int(bool(_TERMINAL.search(_EMOJI_END.sub("", line).strip()))),
         max(_bin(linked / solid_length, _ANY, 0.6), markup if len(words) < 6 else min(1, markup)),
-        int(repeated or _repeats(body) or len(plain) >= 6 and bool(_REPEATED.match(plain))),
+        int(repeated or (lines > 1 or body != line) and _repeats(body) or len(plain) >= 6 and bool(_REPEATED.match(plain))),
         2 if long_tokens else int(one_row),
         _bin(lines, 2, 4),
     )
