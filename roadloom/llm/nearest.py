@@ -5,7 +5,8 @@ tolerance: an interval between the midpoints to its neighbours. Only neighbours
 are looked for inside stretches of time (with their edges repeated on both sides), never over all times of an entity. The
 intervals are indexed by the cells of time that they touch - at most two, as a cell is as wide as an interval can be - and
 the left-hand times meet them in an equi-join on (entity, cell) with the interval as a condition. Intervals of an entity
-are disjoint: each left-hand row meets at most one, and nothing has to be ranked afterwards.
+are disjoint: each left-hand row meets at most one, and nothing has to be ranked afterwards. The index is written once and
+measured: if it is small enough it is broadcast and the left-hand rows are not moved, else both sides meet by (entity, cell).
 """
 
 from __future__ import annotations
@@ -14,6 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from roadloom.common import fits_broadcast
+from roadloom.session import cut_lineage
+
+#: An index of at most so many short rows (and ``BROADCAST_CHARS``) is broadcast.
+BROADCAST_INDEX = 600_000
 #: Neighbours are looked for within stretches of this many tolerances.
 STRETCH = 60
 
@@ -58,6 +64,9 @@ def pair_nearest(left: DataFrame, right: DataFrame, tolerance: int) -> DataFrame
     cell = lambda t: F.floor(t / F.lit(width)).cast("bigint")
     spans = neighbour_intervals(right.select("key", "t", "id"), tolerance)
     index = spans.withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi"))))).select("key", "cell", "lo", "hi", F.col("id").alias("right_id"))
+    index = cut_lineage(index)
+    if fits_broadcast(index, BROADCAST_INDEX):
+        index = F.broadcast(index)
     facts = left.where("key is not null and t is not null").select("key", F.col("t").alias("x"), F.col("id").alias("left_id"), cell(F.col("t")).alias("cell"))
     near = facts.join(index, (facts["key"] == index["key"]) & (facts["cell"] == index["cell"]) & facts["x"].between(index["lo"], index["hi"]))
     return near.select("left_id", "right_id")

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from roadloom.llm import nearest
 from roadloom.llm.nearest import pair_nearest
 
 SCHEMA = "key string, t bigint, id bigint, lo string, cell int"
@@ -29,6 +30,21 @@ def test_against_brute_force(spark, seed, tolerance):
     assert sorted(map(tuple, got)) == brute(left, right, tolerance)
 
 
+def test_a_long_index_is_not_broadcast(spark, monkeypatch):
+    right = [("k", 10 * i, i, "", 0) for i in range(60)]
+    left = [("k", t, t, "", 0) for t in range(-5, 620)]
+    sides = spark.createDataFrame(left, SCHEMA), spark.createDataFrame(right, SCHEMA)
+    assert sorted(map(tuple, pair_nearest(*sides, 3).collect())) == brute(left, right, 3)
+    assert "BroadcastHashJoin" in pair_nearest(*sides, 3)._jdf.queryExecution().toString()
+    monkeypatch.setattr(nearest, "BROADCAST_INDEX", 5)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = pair_nearest(*sides, 3)
+        assert "SortMergeJoin" in out._jdf.queryExecution().toString() and sorted(map(tuple, out.collect())) == brute(left, right, 3)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_edges_of_stretches_and_empty_tables(spark):
     right = [("k", 720 * 5 - 1, 2, "", 0), ("k", 720 * 5 + 2, 1, "", 0)]
     left = [("k", t, t, "", 0) for t in range(720 * 5 - 8, 720 * 5 + 9)]
