@@ -15,8 +15,8 @@ _BLANKS = " \t\n\x0b\x0c\r\u00a0\u2007\ufeff"
 #: A side of a join is broadcast only when it was measured to have at most so many rows and so many characters.
 BROADCAST_ROWS, BROADCAST_CHARS = 200_000, 64_000_000
 
-#: Copies of the small side, and salts of the large one, where a counted side is too long to be broadcast.
-SALTS = 16
+#: Copies of the small side, and salts of the large one, where a counted side is too long to be broadcast: at least and at most.
+SALTS, MOST_SALTS = 16, 128
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,19 +70,25 @@ def fits_broadcast(small: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     return row[0] <= limit and (row[1] or 0) <= BROADCAST_CHARS
 
 
+def salts(spark: SparkSession) -> int:
+    """A key with a third of all rows is spread over a third of what runs at a time, within bounds."""
+    return min(MOST_SALTS, max(SALTS, spark.sparkContext.defaultParallelism // 3))
+
+
 def lookup_join(facts: DataFrame, small: DataFrame, keys: list[str], how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
     """Equi-join of a long table with one that holds each key once.
 
     ``small`` is measured: up to ``limit`` rows it is broadcast and the facts are not moved. Beyond that the join is
-    salted - every fact goes to one of ``SALTS`` copies of its key - so that a key with a third of all facts is spread.
+    salted - every fact goes to one of several copies of its key - so that a key with a third of all facts is spread.
     """
     if fits_broadcast(small, limit):
         return facts.join(F.broadcast(small), keys, how)
     (salt,) = fresh("salt")
+    copies_of = salts(facts.sparkSession)
     # From the row itself, not at random: a task that runs again after a loss must send its rows to the same places.
     kept = [c for c, t in facts.dtypes if not any(x in t for x in ("map<", "variant"))]
-    spread = facts.withColumn(salt, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in kept]), F.lit(SALTS)).cast("int"))
-    copies = small.withColumn(salt, F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    spread = facts.withColumn(salt, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in kept]), F.lit(copies_of)).cast("int"))
+    copies = small.withColumn(salt, F.explode(F.array(*[F.lit(i) for i in range(copies_of)])))
     return spread.join(copies, [*keys, salt], how).drop(salt)
 
 

@@ -182,22 +182,19 @@ def null_tokens(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("lmd_id", null_tokens_to_null(F.col("RoadID")).alias("road_id"), null_tokens_to_null(F.col("Lane")).alias("lane"))
 
 
-@_query("SELECT lmd_id, TRY_CAST(\"Chainage\" AS DOUBLE) AS chainage FROM combined_lmd WHERE regexp_full_match(\"Chainage\", '[0-9]+([.][0-9]+)?')")
-def number_coerce(spark: SparkSession, d: str) -> DataFrame:
-    """Only the rows whose text is a plain number: all rows are in ``number_coerce_all``."""
-    rows = table(spark, d, "combined_lmd").where(F.col("Chainage").rlike("^[0-9]+([.][0-9]+)?$"))
-    return rows.select("lmd_id", scalars.number(F.col("Chainage")).alias("chainage"))
+_NUMBERS_SQL = r"""SELECT lmd_id, CASE WHEN regexp_full_match(v, '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?') THEN TRY_CAST(v AS DOUBLE) END AS chainage
+    FROM (SELECT lmd_id, trim("Chainage", ' ' || chr(9) || chr(10) || chr(13)) AS v FROM combined_lmd)"""
 
 
-@_query(
-    r"""SELECT lmd_id, CASE WHEN regexp_full_match(v, '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?') THEN TRY_CAST(v AS DOUBLE) END AS chainage
-    FROM (SELECT lmd_id, trim("Chainage", ' ' || chr(9) || chr(10) || chr(13)) AS v FROM combined_lmd)"""
-)
-def number_coerce_all(spark: SparkSession, d: str) -> DataFrame:
+@_query(_NUMBERS_SQL)
+def number_coerce(spark: SparkSession, d: str) -> DataFrame:
     """Every row; texts that are no numbers give null."""
     return table(spark, d, "combined_lmd").select("lmd_id", scalars.plain_number(F.col("Chainage")).alias("chainage"))
 
 
+QUERIES["number_coerce_all"], SQL["number_coerce_all"] = number_coerce, _NUMBERS_SQL
+
+
 @_query("SELECT p_partkey, round_even(p_retailprice / 1000 * 1000 / 10, 0) * 10 AS metres FROM part")
 def round_to_10m(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", scalars.round_to_10m(F.col("p_retailprice") / 1000).alias("metres"))
