@@ -31,8 +31,11 @@ def _query(sql: str):
 
 
 def _micros(c: Column) -> Column:
-    """Microseconds since 1970 of a time without zone, taken as UTC whatever the session's zone."""
-    clock = (F.hour(c) * 60 + F.minute(c)).cast("bigint") * 60_000_000 + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
+    """Microseconds since 1970 of a time without zone, taken as UTC whatever the session's zone; a plain cast where that is UTC."""
+    if SparkSession.getActiveSession().conf.get("spark.sql.session.timeZone") in ("UTC", "Etc/UTC", "Z"):
+        return F.unix_micros(c.cast("timestamp"))
+    # Offsets of zones are whole minutes, so what lies below a minute is the same in all of them.
+    clock = (F.hour(c) * 60 + F.minute(c)).cast("bigint") * 60_000_000 + F.pmod(F.unix_micros(c.cast("timestamp")), F.lit(60_000_000))
     return F.unix_date(c.cast("date")).cast("bigint") * 86_400_000_000 + clock
 
 
