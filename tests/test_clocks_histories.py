@@ -1,10 +1,6 @@
-import datetime as dt
-
-from pyspark.sql import functions as F
 from test_clocks import FILES, LOADED, ROWS, read
 
 from roadloom.operators.clocks import all_zones, distinct_histories, with_instants
-from roadloom.plans.survey_queries import lmd_instants
 
 
 def test_no_zone_is_named_anywhere(spark):
