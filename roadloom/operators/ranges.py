@@ -65,8 +65,8 @@ def mark_in_range(facts: DataFrame, ranges: DataFrame, key: str, value: str, out
     for number in levels:  # one for every factor of 64 in length: a few
         k, lo, hi, cells = fresh("k", "lo", "hi", "cell")
         part = index.where(F.col("__level") == number).select(F.col("__k").alias(k), F.col("__lo").alias(lo), F.col("__hi").alias(hi), F.col("__cell").alias(cells))
-        if fits_broadcast(part):
-            part = F.broadcast(part)
+        # Measured too long, it must be told so: Spark's own estimate knows nothing of the cells, and would broadcast it.
+        part = F.broadcast(part) if fits_broadcast(part) else part.hint("merge")
         cell = F.lit(0) if number < 0 else F.floor(F.col(place) / F.lit(CELL * float(SPREAD) ** number))
         where = (F.col(fact_key) == F.col(k)) & (cell == F.col(cells)) & F.col(place).between(F.col(lo), F.col(hi))
         rows = rows.join(part, where, "left").select(*columns, fact_key, place, (F.col(hit) | F.col(k).isNotNull()).alias(hit))
